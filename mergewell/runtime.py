@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 
@@ -32,3 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_VIEWS = itertools.count()
+
+
+def sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """The result of a statement in which ``{name}`` stands for a table given by that name; other braces are left alone."""
+    views = {}
+    for name, df in tables.items():
+        views[name] = f"mergewell_view_{next(_VIEWS)}"
+        df.createOrReplaceTempView(views[name])
+        text = text.replace("{" + name + "}", views[name])
+    try:
+        return spark.sql(text)
+    finally:  # the plan is analysed by now and needs the names no more
+        for view in views.values():
+            spark.catalog.dropTempView(view)
