@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mergewell.llm.canonical_values import canonical_values
 from mergewell.llm.eval_leaks import find_leaks
+from mergewell.llm.linkage import matched_records
 from mergewell.llm.name_variants import name_variants
 from mergewell.llm.tokenize_corpus import encode_texts
 from mergewell.llm.truncation import truncated, truncation_rates
@@ -16,6 +17,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_values(*(read(spark, sf_dir, t) for t in ("raw_candidate", "recruiter", "skill_ref", "location_ref")))
 
 
+def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched_records(read(spark, sf_dir, "raw_candidate"), read(spark, sf_dir, "location_ref"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_confidence(spark, sf_dir).select("raw_id_a", "raw_id_b")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants(read(spark, sf_dir, "recruiter"))
 
@@ -36,5 +45,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_confidence": p3_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLE: dict[str, str] = {}
