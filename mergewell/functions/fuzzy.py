@@ -7,6 +7,7 @@ numbers to the last digit isn't claimed.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -70,16 +71,49 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(ratio(a, b), scale * part_ratio(a, b), 0.95 * scale * word_ratio(a, b, part_ratio))
 
 
+class _Choice:
+    """A choice with what bounds its score from above."""
+
+    __slots__ = ("text", "n", "bag", "words")
+
+    def __init__(self, text: str) -> None:
+        self.text, self.n, self.bag, self.words = text, len(text), Counter(text), frozenset(text.split())
+
+    def at_most(self, n: int, bag: Counter, words: frozenset) -> float:
+        """No score with this text is higher: letters in common can't be more than in both bags."""
+        if self.words & words:
+            return 100.0
+        common = sum(min(k, bag[c]) for c, k in self.bag.items() if c in bag)
+        low, high = min(n, self.n), max(n, self.n)
+        whole = 200.0 * common / (low + high)
+        if high < 1.5 * low:
+            return whole
+        return max(whole, (0.9 if high <= 8 * low else 0.6) * min(100.0, 200.0 * common / (low + min(common, low))))
+
+
+@lru_cache(maxsize=8)
 def nearest_in(choices: tuple[str, ...], cutoff: float):
-    """text -> (choice, score) of the first of the best choices at or above the cutoff, or None; choices themselves give None."""
+    """text -> (choice, score) of the first of the best choices at or above the cutoff, or None; choices themselves give None.
+
+    Choices are scored by falling upper bound until no bound exceeds the best score.
+    """
     known = frozenset(choices)
+    every = [_Choice(c) for c in choices]
 
-    @lru_cache(maxsize=100_000)
+    @lru_cache(maxsize=200_000)
     def nearest(text: str | None) -> tuple[str, float] | None:
         if not text or text in known:
             return None
-        best = max(((weighted_ratio(text, c), -k) for k, c in enumerate(choices)), default=(0.0, 0))
-        return (choices[-best[1]], best[0]) if best[0] >= cutoff else None
+        n, bag, words = len(text), Counter(text), frozenset(text.split())
+        bounds = sorted(((c.at_most(n, bag, words), -k) for k, c in enumerate(every)), reverse=True)
+        best, at = -1.0, 0
+        for bound, k in bounds:
+            if bound < cutoff or bound < best:
+                break
+            score = weighted_ratio(text, every[-k].text)
+            if score > best or (score == best and -k < at):
+                best, at = score, -k
+        return (choices[at], best) if best >= cutoff else None
 
     return nearest
 
