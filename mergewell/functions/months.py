@@ -67,5 +67,5 @@ def is_ongoing(c: Column) -> Column:
 
 
 def month_text(index: Column) -> Column:
-    """``YYYY-MM`` of a month index."""
-    return F.format_string("%04d-%02d", F.floor(index / 12).cast("int"), (index % 12 + 1).cast("int"))
+    """``YYYY-MM`` of a month index; null for null."""
+    return F.when(index.isNotNull(), F.format_string("%04d-%02d", F.floor(index / 12).cast("int"), (index % 12 + 1).cast("int")))

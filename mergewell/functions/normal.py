@@ -66,8 +66,8 @@ def title_case(t: Column) -> Column:
     gaps = F.regexp_extract_all(t, F.lit(r"[\s\-]+"), F.lit(0))
     capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(x.substr(F.lit(2), F.length(x))))
 
-    def cased(x: Column, i: Column) -> Column:
-        low, last = F.lower(x), i == F.size(words) - 1
+    def cased(x: Column, last: Column) -> Column:
+        low = F.lower(x)
         return (
             F.when(low.isin(*fixed.PARTICLES) & ~last, low)
             .when(low.rlike("^o'[a-z]"), F.concat(F.lit("O'"), capital(x.substr(F.lit(3), F.length(x)))))
@@ -78,7 +78,8 @@ def title_case(t: Column) -> Column:
 
     # A text may begin with a gap ("-x"); then gaps come before words.
     first_gap = t.rlike(r"^[\s\-]")
-    pairs = F.zip_with(F.transform(words, cased), gaps, lambda w, g: F.when(first_gap, F.concat(F.coalesce(g, F.lit("")), F.coalesce(w, F.lit("")))).otherwise(F.concat(F.coalesce(w, F.lit("")), F.coalesce(g, F.lit("")))))
+    done = bind(words, lambda w: F.transform(w, lambda x, i: cased(x, i == F.size(w) - 1)))
+    pairs = F.zip_with(done, gaps, lambda w, g: F.when(first_gap, F.concat(F.coalesce(g, F.lit("")), F.coalesce(w, F.lit("")))).otherwise(F.concat(F.coalesce(w, F.lit("")), F.coalesce(g, F.lit("")))))
     return F.array_join(pairs, "")
 
 
@@ -116,8 +117,9 @@ def infer_platform(url: Column) -> Column:
     return out.otherwise("other")
 
 
-_NAMED = "(?i)^(?:(?:[0-9]{1,2})(?:st|nd|rd|th)?[ -]+)?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[.,]?[ -]+(?:[0-9]{1,2}(?:st|nd|rd|th)?,? +)?([0-9]{4})$"
-_SHORT_YEAR = "(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[.,]? *['’]([0-9]{2})$"
+_MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_NAMED = "(?i)^(?:(?:[0-9]{1,2})(?:st|nd|rd|th)?[ -]+)?" + _MONTH + "[.,]?[ -]+(?:[0-9]{1,2}(?:st|nd|rd|th)?,? +)?([0-9]{4})$"
+_SHORT_YEAR = "(?i)^" + _MONTH + "[.,]? *['’]([0-9]{2})$"
 _YEAR_FIRST = "^([0-9]{4})[-/.]([0-9]{1,2})(?:[-/.][0-9]{1,2})?(?:[T ][0-9:.Z+]*)?$"
 _YEAR_LAST = "^([0-9]{1,2})[-/.]([0-9]{4})$"
 _THREE = "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})$"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mergewell.functions.normal import bind
+
 FIELDS = ("full_name", "email", "phone", "location", "linkedin_url", "headline", "skills", "years_experience")
 
 _NUMBER = r"([0-9]+(?:\.[0-9]*)?|\.[0-9]+)\s*\+?"
@@ -23,17 +25,20 @@ def rfc4180_pieces(line: Column) -> Column:
 
 def well_formed(line: Column) -> Column:
     """Whether a record is well formed by RFC 4180; linear, without backtracking."""
-    p = rfc4180_pieces(line)
-    n = F.size(p)
 
-    def good(x: Column, i: Column) -> Column:
-        inner = (i > 0) & (i < n - 1)
-        left = (i == 0) | (x == "") | x.startswith(",")  # after a closing quote
-        right = (i == n - 1) | (x == "") | x.endswith(",")  # before an opening quote
-        # An empty piece between two quotes is a doubled quote.
-        return (i % 2 == 1) | (~x.rlike("[\r\n]") & left & right & (~inner | (x == "") | (x.startswith(",") & x.endswith(","))))
+    def check(p: Column) -> Column:
+        n = F.size(p)
+
+        def good(x: Column, i: Column) -> Column:
+            inner = (i > 0) & (i < n - 1)
+            left = (i == 0) | (x == "") | x.startswith(",")  # after a closing quote
+            right = (i == n - 1) | (x == "") | x.endswith(",")  # before an opening quote
+            # An empty piece between two quotes is a doubled quote.
+            return (i % 2 == 1) | (~x.rlike("[\r\n]") & left & right & (~inner | (x == "") | (x.startswith(",") & x.endswith(","))))
+
+        return (n % 2 == 1) & F.forall(F.transform(p, good), lambda ok: ok)
 
-    return (n % 2 == 1) & F.forall(F.transform(p, good), lambda ok: ok)
+    return bind(rfc4180_pieces(line), check)
 
 
 def rfc4180_cells(line: Column) -> Column:

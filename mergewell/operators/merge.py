@@ -199,11 +199,16 @@ def union(field: str, flat: Column, key, settings: Settings, accept=None) -> Col
     accept = accept or (lambda x: F.lit(True))
 
     def use(f: Column) -> Column:
+        # Positions of each key's first acceptable result, computed once and bound.
         good = F.transform(f, lambda x: F.when(accept(x), key(x["n"]["value"])))
         keys = F.transform(f, lambda x: key(x["n"]["value"]))
-        at = lambda i: F.array_position(good, F.get(keys, i))
-        kept = F.filter(f, lambda x, i: accept(x) & (at(i) == i + 1))
-        repeats = F.size(F.filter(F.transform(f, lambda x, i: (at(i) > 0) & (at(i) < i + 1)), lambda b: b))
+        at = N.bind(good, lambda g: F.transform(keys, lambda k: F.array_position(g, k)))
+        return N.bind(F.arrays_zip(f.alias("x"), at.alias("at")), chosen)
+
+    def chosen(z: Column) -> Column:
+        first_of = F.filter(z, lambda y, i: accept(y["x"]) & (y["at"] == i + 1))
+        kept = F.transform(first_of, lambda y: y["x"])
+        repeats = F.size(F.filter(z, lambda y, i: (y["at"] > 0) & (y["at"] < i + 1)))
         first = F.get(kept, F.lit(0))
         scored = F.when(F.size(kept) > 0, confidence(field, first["source"], first["reliability"], first["n"]["factor"], first["n"]["method"], repeats + 1, settings))
         return F.struct(kept.alias("kept"), repeats.alias("repeats"), scored.alias("confidence"))
@@ -216,8 +221,7 @@ def _entries(field: str, records: Column, kind: str, key) -> Column:
     every = F.flatten(F.transform(records, lambda r: F.coalesce(r[field], F.array().cast(kind))))
 
     def use(e: Column) -> Column:
-        keys = F.transform(e, key)
-        return F.filter(e, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        return N.bind(F.transform(e, key), lambda keys: F.filter(e, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
 
     def dated(x: Column) -> Column:
         month = lambda c: N.bind(N.normalize_date(x[c])["value"], lambda v: F.when(N.valid_month(v), v))
