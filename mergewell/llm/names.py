@@ -83,7 +83,7 @@ def edits(a: str, b: str, most: int) -> int:
         new = [big] * (m + 1)
         if i <= most:
             new[0] = i
-        best = big
+        best = new[0]
         for j in range(max(1, i - most), min(m, i + most) + 1):
             x = row[j - 1] + (a[i - 1] != b[j - 1])
             if row[j] + 1 < x:
