@@ -46,4 +46,8 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_confidence": p3_confidence, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
-ORACLE: dict[str, str] = {}
+_GRAMS = """SELECT DISTINCT {id}, array_to_string(w[i : i + 11], ' ') AS g FROM (
+  SELECT {id}, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12)"""
+ORACLE = {
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) d JOIN ({_GRAMS.format(id='item_id', table='eval_items')}) i ON d.g = i.g",
+}
