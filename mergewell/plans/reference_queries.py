@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mergewell import fixed
 from mergewell.functions import normal as N
 from mergewell.operators import long_form as L, merge as M
-from mergewell.operators.projection import FieldConfig, ProjectionConfig, project_json
+from mergewell.operators.projection import FieldConfig, ProjectionConfig, project, project_json
 from mergewell.operators.validation import E164, UUID, metrics, validate
 from mergewell.plans.pipeline import merge_all
 from mergewell.runtime import read
@@ -229,13 +229,13 @@ def infer_platform(spark, sf_dir):
     return read(spark, sf_dir, "raw_candidate").select("raw_id", F.explode("links").alias("link")).withColumn("platform", N.infer_platform(F.col("link")))
 
 
-@query("SELECT source, count(DISTINCT lower(regexp_replace(regexp_replace(trim(link), '^(?i:https?)://', ''), '/+$', ''))) > 0 AS some, count(*) AS n FROM (SELECT source, unnest(links) AS link FROM raw_candidate) GROUP BY source")
-def links_counted(spark, sf_dir):
-    x = read(spark, sf_dir, "raw_candidate").select("source", F.explode("links").alias("link"))
-    return x.groupBy("source").agg((F.count("link") > 0).alias("some"), F.count(F.lit(1)).alias("n"))
+_LINK = r"CASE WHEN regexp_matches(t, '(?i)^https?://') THEN t ELSE 'https://' || t END"
+_URL_OF = r"""lower(regexp_extract(u, '(?i)^(https?)://', 1)) || '://' || lower(regexp_extract(u, '(?i)^https?://([^/?#]*)', 1)) || regexp_replace(regexp_extract(u, '(?i)^https?://[^/?#]*([^?#]*)', 1), '/+$', '')
+  || CASE WHEN length(regexp_extract(u, '(?i)^https?://[^/?#]*[^?#]*(\?[^#]*)', 1)) > 1 THEN regexp_extract(u, '(?i)^https?://[^/?#]*[^?#]*(\?[^#]*)', 1) ELSE '' END"""
 
 
-@query()
+@query(f"""WITH l AS (SELECT source, trim(unnest(links)) AS t FROM raw_candidate), u AS (SELECT source, {_LINK} AS u FROM l WHERE t <> ''), k AS (SELECT source, {_URL_OF} AS key FROM u)
+SELECT source, key, count(*) - 1 AS repeats, CASE """ + " ".join(f"WHEN regexp_matches(key, '(?i){p}') THEN '{n}'" for n, p in fixed.PLATFORMS) + """ ELSE 'other' END AS platform FROM k GROUP BY source, key""")
 def links_union(spark, sf_dir):
     x = read(spark, sf_dir, "raw_candidate").select("raw_id", "source", F.posexplode("links").alias("pos", "link"))
     url = N.normalize_url(F.col("link"))["value"]
@@ -418,9 +418,16 @@ def project_omit(spark, sf_dir):
     return project_json(_merged(spark, sf_dir), config)
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS segment FROM customer""")
+@query("""SELECT c_name AS candidate_id, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS name, CASE WHEN c_acctbal >= 0 THEN c_name END AS emails, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS experience_years FROM customer""")
 def project_rename_null(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"))
+    c, none = read(spark, sf_dir, "customer"), F.array().cast("array<string>")
+    profile = {f: none.alias(f) for f in fixed.FIELDS} | {
+        "candidate_id": F.col("c_name").alias("candidate_id"), "full_name": F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("full_name"),
+        "emails": F.when(F.col("c_acctbal") >= 0, F.array("c_name")).otherwise(none).alias("emails"), "years_experience": F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("years_experience"),
+    }
+    renamed = {"full_name": "name", "years_experience": "experience_years"}
+    config = ProjectionConfig(fields={f: FieldConfig(include=f in ("candidate_id", "full_name", "emails", "years_experience"), rename=renamed.get(f)) for f in fixed.FIELDS})
+    return project(c.select(*profile.values()), config).withColumn("emails", F.array_join("emails", ","))
 
 
 @query(rf"""WITH v AS (SELECT raw_id, list_concat(
