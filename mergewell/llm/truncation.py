@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mergewell.runtime import cut
+
 #: log2 of the buckets of each kind of context; the first of each chain is the shallowest.
 CHAINS = (("last1", 14), ("last3", 18), ("last5", 20)), (("shape", 14), ("start", 18), ("start_end", 20))
 SIZES = [1 << bits for chain in CHAINS for _, bits in chain]
@@ -39,6 +41,8 @@ VALLEY, BIN, LEAST_TEXTS = (-9.0, -6.5), 0.25, 20_000
 _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|\[\s*(?:…|\.{3,})\s*\]|\(\s*(?:more|continued|…|\.{3,})\s*\)|(?:read|see|show) more\s*(?:»|>+|→|…)?|\[(?:more|truncated|cut)\]))+\s*$", re.I)
 _OUTER = " \t\r\n\v\f  　​﻿\x00\x1c\x1d\x1e\x1f\x85"
 _SENTENCE = ".!?。！？"
+#: A full stop of East Asian text whose bytes were read as another charset.
+_MISREAD_STOPS = ("ã€‚", "ã\x80\x82", "¡£")
 _CLOSERS = "\"'”’»“)]」』"
 
 
@@ -152,7 +156,7 @@ def final_scores(texts: list[str], stops: np.ndarray, goes: np.ndarray) -> np.nd
 def finishes(text: str) -> bool:
     """Whether a text's last line ends as a sentence does."""
     t = text.rstrip(_CLOSERS + _OUTER)
-    return t[-1:] in _SENTENCE if t else True
+    return t[-1:] in _SENTENCE or t.endswith(_MISREAD_STOPS) if t else True
 
 
 def train(documents: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -209,13 +213,13 @@ def score_texts(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stops, goes = shared.value
         for b in batches:
-            cut = [split_mark(t) if t else ("", False) for t in b.column(3).to_pylist()]
-            kept = [k for k, (t, _) in enumerate(cut) if t]
-            scores = [final_scores(texts, stops, goes) for texts in _chunks([t for t, _ in cut])]
+            ends = [split_mark(t) if t else ("", False) for t in b.column(3).to_pylist()]
+            kept = [k for k, (t, _) in enumerate(ends) if t]
+            scores = [final_scores(texts, stops, goes) for texts in _chunks([t for t, _ in ends])]
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.concatenate(scores) if scores else np.zeros(0)),
-                 pa.array([cut[k][1] for k in kept], pa.bool_()), pa.array([not cut[k][1] and finishes(cut[k][0]) for k in kept], pa.bool_())],
+                 pa.array([ends[k][1] for k in kept], pa.bool_()), pa.array([not ends[k][1] and finishes(ends[k][0]) for k in kept], pa.bool_())],
                 names=["doc_id", "source", "lang", "score", "marked", "done"],
             )
 
@@ -251,20 +255,21 @@ def truncated(documents: DataFrame) -> DataFrame:
     blank texts weren't cut; a copy of a cut text was; repeated rows and null ids are kept. Columns other than
     doc_id, source, lang and text aren't read.
     """
-    scored = score_texts(documents, train(documents))
+    # Read twice, by the thresholds and by the result: a few numbers per text, written to the checkpoint folder.
+    scored = cut(score_texts(documents, train(documents)))
     by_lang = thresholds(scored)
     limit = F.lit(DEFAULT_THRESHOLD)
     for lang, t in sorted(by_lang.items()):
         limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
-    cut = F.when(F.col("marked"), F.col("score") < MARKED_THRESHOLD).otherwise(~F.col("done") & (F.col("score") < limit))
-    return scored.filter(cut).drop("done")
+    stops_early = F.when(F.col("marked"), F.col("score") < MARKED_THRESHOLD).otherwise(~F.col("done") & (F.col("score") < limit))
+    return scored.filter(stops_early).drop("done")
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:
     """(source, texts, truncated, share): how often each source truncates, over its texts with visible characters."""
     scored = documents.select("doc_id", "source", (F.regexp_replace("text", r"(?U)[\s\u200b\ufeff]+", "") != "").alias("seen"))
     all_texts = scored.groupBy("source").agg(F.count_if("seen").alias("texts"))
-    cut = truncated(documents).groupBy("source").agg(F.count(F.lit(1)).alias("truncated"))
-    joined = all_texts.alias("a").join(cut.alias("c"), F.col("a.source").eqNullSafe(F.col("c.source")), "left")
+    short = truncated(documents).groupBy("source").agg(F.count(F.lit(1)).alias("truncated"))
+    joined = all_texts.alias("a").join(short.alias("c"), F.col("a.source").eqNullSafe(F.col("c.source")), "left")
     n = F.coalesce("c.truncated", F.lit(0))
     return joined.select(F.col("a.source").alias("source"), "texts", n.alias("truncated"), (n / F.nullif("texts", F.lit(0))).alias("share"))
