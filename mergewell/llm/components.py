@@ -15,7 +15,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     aggregated before the shuffle. Every round is written to the shared checkpoint folder, so a lost executor
     costs one round. Self-loops, repeated edges and either direction are welcome; null ends are left out.
     """
-    loops = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a is not null and b is not null")
+    # Written first: the edges may be dear to make and are read twice, for the nodes and for the first round.
+    loops = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a is not null and b is not null"))
     nodes = loops.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now = cut(loops.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
