@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: A contact that names of more kinds than this share is a switchboard, an agency or the like, and ties nobody.
+#: A contact that more groups of mutually alike names than this share is a switchboard, an agency or the like: it only ties whole names.
 SHARED_ABOVE = 6
 
 
@@ -33,11 +33,11 @@ def profile_key(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.trim(c)), r"(?:^|[./])[a-z0-9-]+\.[a-z]+/(?:in/|u/|user/|~)?([^/?#\s]+)/?(?:[?#].*)?$", 1), F.lit(""))
 
 
-def personal(entries: DataFrame, most: int = SHARED_ABOVE) -> DataFrame:
-    """The entries (kind, key, name, ...) whose contact isn't shared by names of more than ``most`` kinds.
+def of_many_kinds(entries: DataFrame, most: int = SHARED_ABOVE) -> DataFrame:
+    """(kind, key): contacts whose names have more than ``most`` kinds, the only ones that can be shared by so many people.
 
     The kind of a name is the start of its longest part. Names are made distinct per contact first, on the map side too.
     """
     longest = F.array_max(F.transform(F.split("name", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     kinds = entries.select("kind", "key", F.substring(longest, 1, 3).alias("start")).distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
-    return entries.join(kinds.filter(F.col("n") > most).select("kind", "key"), ["kind", "key"], "left_anti")
+    return kinds.filter(F.col("n") > most).select("kind", "key")

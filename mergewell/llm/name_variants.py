@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mergewell.llm import names
 from mergewell.llm.components import components
-from mergewell.llm.contacts import email_key, local_key, personal, phone_key, profile_key
+from mergewell.llm.contacts import SHARED_ABOVE, email_key, local_key, of_many_kinds, phone_key, profile_key
 from mergewell.runtime import cut, sql
 
 #: How alike two names must be (names.likeness) to be one person's, by what ties them.
@@ -88,15 +88,34 @@ def compared(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("like", F.arrow_udf(run, "int")("name_a", "name_b"))
 
 
+def shared_contacts(entries: DataFrame, alike: DataFrame) -> DataFrame:
+    """(kind, key, shared) of the contacts of more than SHARED_ABOVE groups of alike names; shared is true.
+
+    entries: kind, key, name, made distinct; alike: kind, key, name_a, name_b, like of their pairs. Names with likeness 2 or more form
+    groups, so the spellings of one person, however many, are one.
+    """
+    many = cut(of_many_kinds(entries))
+    node = lambda c: F.xxhash64("kind", "key", c)
+    edges = alike.filter(F.col("like") >= 2).join(many, ["kind", "key"], "left_semi").select(node("name_a").alias("a"), node("name_b").alias("b"))
+    nodes = cut(entries.join(many, ["kind", "key"], "left_semi").select("kind", "key", node("name").alias("node")))
+    groups = nodes.join(components(edges.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))), "node")
+    sized = groups.groupBy("kind", "key").agg(F.count_distinct("component").alias("n"))
+    return cut(sized.filter(F.col("n") > SHARED_ABOVE).select("kind", "key", F.lit(True).alias("shared")))
+
+
 def agreeing(entries: DataFrame, needed: dict[str, int]) -> DataFrame:
     """(a, b): ids to tie. entries: (kind, key, name, id). Rows with one name and contact are tied to the smallest of them,
-    and those to each other where their names agree."""
+    and those to each other where their names agree; under a shared contact only whole names of several parts do."""
     hubs = cut(entries.groupBy("kind", "key", "name").agg(F.min("id").alias("rep")))
-    own = entries.join(hubs, ["kind", "key", "name"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    pairs = cut(compared(pigeonhole_names(hubs)).filter("like > 0"))
+    shared = shared_contacts(hubs.select("kind", "key", "name"), pairs)
+    tied = entries.join(hubs, ["kind", "key", "name"]).join(shared, ["kind", "key"], "left")
+    own = tied.filter("shared is null or name like '% %'").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     least = F.lit(99)
     for kind, n in needed.items():
         least = F.when(F.col("kind") == kind, n).otherwise(least)
-    pairs = compared(pigeonhole_names(hubs)).filter(F.col("like") >= least)
+    whole = (F.col("like") >= 3) & F.expr("name_a like '% %' or name_b like '% %'")
+    pairs = pairs.join(shared, ["kind", "key"], "left").filter(F.when(F.col("shared"), whole).otherwise(F.col("like") >= least)).select("kind", "key", "name_a", "name_b")
     a, b = hubs.alias("x"), hubs.alias("y")
     across = (
         pairs.join(a.select("kind", "key", F.col("name").alias("name_a"), F.col("rep").alias("a")), ["kind", "key", "name_a"])
@@ -162,7 +181,7 @@ def same_person(recruiters: DataFrame) -> DataFrame:
     contacts and full_name aren't read; an empty table gives an empty result.
     """
     rows = cut(recruiter_entries(recruiters))
-    entries = cut(personal(rows.select("id", "name", F.inline("contacts"))))
+    entries = cut(rows.select("id", "name", F.inline("contacts")))
     found = cut(components(agreeing(entries, NEEDED)))
     # The first components stand for their edges: a star each, which settles in few rounds.
     stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
