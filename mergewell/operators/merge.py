@@ -1,8 +1,8 @@
 """Merge of the records of one entity from several sources by priority, with audit and confidence.
 
 normalize_records is narrow. merge_entities shuffles once, on entity_id, and evaluates all fields over the few sorted
-records of an entity with higher-order functions. A group is bounded by construction: of each source an entity
-keeps ``Settings.records_per_source`` records, cut by a window that Spark limits before the shuffle too.
+records of an entity with higher-order functions. With ``Settings.records_per_source`` an entity keeps so many records of
+each source, cut by a window that Spark limits before the shuffle too; with None all are united, and a group is as large as its entity.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ def as_raw(df: DataFrame) -> DataFrame:
     return df.select(*((F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in RAW.items()))
 
 
-def first_records(raw: DataFrame, n: int = 1) -> DataFrame:
-    """The first n records of each entity and source by rec_seq; entities without id are left out."""
+def first_records(raw: DataFrame, n: int | None = 1) -> DataFrame:
+    """The first n records of each entity and source by rec_seq, all for None; entities without id are left out."""
+    if n is None:
+        return raw.filter("entity_id is not null")
     w = Window.partitionBy("entity_id", "source").orderBy(F.col("rec_seq").asc_nulls_last(), F.col("source_file").asc_nulls_last())
     return raw.filter("entity_id is not null").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 

@@ -17,6 +17,7 @@ from mergewell.sources import recruiter_csv as C, resume as R
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 NOW = "2026-07-01T00:00:00"
+ALL_RECORDS = Settings(now=NOW, records_per_source=None)
 
 
 def query(oracle: str | None = None):
@@ -381,7 +382,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark, sf_dir) -> DataFrame:
-    return M.merge(raw_records(spark, sf_dir), Settings(now=NOW))
+    return M.merge(raw_records(spark, sf_dir), ALL_RECORDS)
 
 
 def _stable(m: DataFrame) -> DataFrame:
@@ -458,4 +459,4 @@ def merge_metrics(spark, sf_dir):
 
 @query()
 def report_html(spark, sf_dir):
-    return merge_all(raw_records(spark, sf_dir), Settings(now=NOW)).report
+    return merge_all(raw_records(spark, sf_dir), ALL_RECORDS).report

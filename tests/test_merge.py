@@ -159,3 +159,11 @@ def test_long_form_equals_plain_sums(spark):
         own = sorted((p, i, v) for a, v, p, i in rows if a == e and v is not None)
         keys = [v.strip().lower() for _, _, v in own]
         assert got[e] == (own[0][2], keys.count(keys[0]), len(set(keys)) > 1)
+
+
+def test_later_records_of_a_source_count(spark):
+    from mergewell.plans.reference_queries import ALL_RECORDS
+
+    later = dict(entity_id="a", rec_seq=9, source="recruiter_csv", full_name="Priya S", emails=["late@alt.com", "priya@alt.com"])
+    r = M.merge(frame(spark, CSV, later), ALL_RECORDS, fuzzy=False).select("emails", "full_name", "duplicates_removed", "d_full_name.had_conflict").first()
+    assert tuple(r) == (["priya.sharma@email.com", "priya@alt.com", "late@alt.com"], "Priya Sharma", 1, True)
