@@ -32,10 +32,13 @@ OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
 BUCKETS = int(OFFSETS[-1])
 #: Weight of the shallower context in a smoothed rate.
 PRIOR = 4.0
-#: Score under which an unmarked text counts as cut, unless its language has a clear valley; and for a marked one.
+#: Score under which an unmarked text counts as cut as long as no texts tell, and that for a marked one.
 DEFAULT_THRESHOLD, MARKED_THRESHOLD = -7.75, -2.5
-#: Where the valley of a language's scores is sought, the width of a bin, and texts that a language needs for that.
-VALLEY, BIN, LEAST_TEXTS = (-9.0, -6.5), 0.25, 20_000
+#: Where the valley of a language's scores is sought, and the width of a bin.
+VALLEY, BIN = (-9.0, -6.5), 0.25
+#: Texts of all languages that a language's own weigh against, and of the default that all languages' do; the share of texts
+#: in four bins by which the default's valley rises per bin.
+SHRINK, SLOPE = 20_000, 0.001
 
 # Marks that stand for a rest.
 _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|\[\s*(?:…|\.{3,})\s*\]|\(\s*(?:more|continued|…|\.{3,})\s*\)|(?:read|see|show) more\s*(?:»|>+|→|…)?|\[(?:more|truncated|cut)\]))+\s*$", re.I)
@@ -227,24 +230,38 @@ def score_texts(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> D
     return src.mapInArrow(run, "doc_id long, source string, lang string, score double, marked boolean, done boolean")
 
 
-def thresholds(scored: DataFrame) -> dict[str, float]:
-    """The score between cut and complete texts per language: the middle of the emptiest stretch of its histogram.
+def valleys(count: dict[str, dict[int, int]]) -> dict[str, float]:
+    """The middle of the emptiest stretch of each language's histogram (texts per bin), at every size.
 
-    A language with few texts keeps the default. The histogram has at most a few bins per language.
+    Shares are shrunk towards those of all languages, these towards a valley at the default, by weights that grow smoothly with
+    the texts.
     """
-    low, high = VALLEY
+    edges = range(round(VALLEY[0] / BIN), round(VALLEY[1] / BIN) + 1)
+
+    def near(by_bin: dict[int, int]) -> np.ndarray:
+        return np.array([sum(by_bin.get(e + k, 0) for k in (-2, -1, 0, 1)) for e in edges], float)
+
+    every: dict[int, int] = {}
+    for by_bin in count.values():
+        for b, n in by_bin.items():
+            every[b] = every.get(b, 0) + n
+    shape = SLOPE * np.array([abs(e - DEFAULT_THRESHOLD / BIN) for e in edges])
+    shape = (near(every) + SHRINK * shape) / (sum(every.values()) + SHRINK)
+    out = {}
+    for lang, by_bin in count.items():
+        own = (near(by_bin) + SHRINK * shape) / (sum(by_bin.values()) + SHRINK)
+        flat = np.flatnonzero(np.isclose(own, own.min(), rtol=1e-9, atol=1e-12))
+        out[lang] = edges[int(flat[len(flat) // 2])] * BIN
+    return out
+
+
+def thresholds(scored: DataFrame) -> dict[str, float]:
+    """The score between cut and complete texts per language. The histogram has at most a few bins per language."""
     bins = scored.filter("not marked and not done").groupBy("lang", F.floor(F.col("score") / BIN).cast("int").alias("bin")).count()
     count: dict[str, dict[int, int]] = {}
     for lang, b, n in bins.collect():
         count.setdefault(lang, {})[b] = n
-    out = {}
-    for lang, by_bin in count.items():
-        if sum(by_bin.values()) >= LEAST_TEXTS:
-            smooth = {b: sum(by_bin.get(b + k, 0) for k in (-2, -1, 0, 1, 2)) for b in range(int(low / BIN), int(high / BIN))}
-            least = min(smooth.values())
-            flat = sorted(b for b, n in smooth.items() if n == least)
-            out[lang] = (flat[len(flat) // 2] + 0.5) * BIN
-    return out
+    return valleys(count)
 
 
 def truncated(documents: DataFrame) -> DataFrame:

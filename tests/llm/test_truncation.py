@@ -62,3 +62,12 @@ def test_marks():
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "word and " * 200_000, "en", "s")], "doc_id long, text string, lang string, source string")
     assert T.truncated(df).count() in (0, 1)
+
+
+def test_every_language_has_its_valley_at_any_size():
+    def bins(at, n):
+        return {b: 0 if abs(b - at) < 2 else n for b in range(-40, -20)}
+
+    found = T.valleys({"en": bins(-28, 100), "ja": bins(-34, 100), "few": {-50: 1}})
+    assert found["en"] > T.DEFAULT_THRESHOLD > found["ja"]
+    assert T.valleys({"xx": {-50: 1}}) == {"xx": T.DEFAULT_THRESHOLD}
