@@ -15,6 +15,9 @@ A parsing expression grammar, tried alternative by alternative:
 An alternative that fails gives back what it consumed: a quote that never closes in front of a separator is
 read again as part of a bare value, and the value gets the flag ``open_quote``; a parenthesis that never
 closes is an ordinary character (flag ``open_group``).
+
+What backtracking has found out about a cell is kept (`_Memo`), so every place is read a bounded number of times and the
+time grows with the length of the cell, however malformed it is.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ _SEP = frozenset(SEPARATORS)
 _OUTER = _BLANK + "\n\r\t\v\f"
 _NUMBER = re.compile(r"(\d{1,4})([.)])(?=\s)")
 _LISTMARK = re.compile(r"(?:[-*–—▪◦‣](?=\s)|[•·])\s*")
-_AND = re.compile(r"\s+and\s+", re.I)
+_AND = re.compile(r"(?<!\s)\s+and\s+", re.I)
 _LEAD_AND = re.compile(r"and\s+", re.I)
+_PARENTHESIS = re.compile(r"[()]")
 _STOP = re.compile(r"[,;|\n\r\t•·，、；(/]")
 
 
@@ -50,13 +54,42 @@ def _separator(s: str, i: int) -> int:
     return -1
 
 
-def _quoted(s: str, i: int) -> tuple[str, int] | None:
+class _Memo:
+    """What is known of a cell: where its parentheses close, and from where a quoted value never closes."""
+
+    def __init__(self, s: str) -> None:
+        self.s = s
+        self._groups: dict[int, int] | None = None
+        self._dead: dict[str, set[int]] = {}
+
+    def group(self, i: int) -> int:
+        """End of the parenthesised group at i, or -1 if it never closes."""
+        if self._groups is None:
+            self._groups, opened = {}, []
+            for m in _PARENTHESIS.finditer(self.s):
+                if m[0] == "(":
+                    opened.append(m.start())
+                elif opened:
+                    self._groups[opened.pop()] = m.end()
+        return self._groups.get(i, -1)
+
+    def dead(self, quote: str) -> set[int]:
+        """Places inside a value opened by ``quote`` from which no end of it is reached."""
+        return self._dead.setdefault(quote, set())
+
+
+def _quoted(s: str, i: int, memo: _Memo) -> tuple[str, int] | None:
     """quoted: (value, end), or None to backtrack."""
     close = QUOTES.get(s[i])
     if close is None:
         return None
+    dead, passed = memo.dead(s[i]), []
     out, j, n = [], i + 1, len(s)
     while j < n:
+        if j in dead:
+            break
+        if j > i + 1:
+            passed.append(j)
         c = s[j]
         if c == "\\" and j + 1 < n and s[j + 1] in (close, s[i], "\\"):
             out.append(s[j + 1])
@@ -74,10 +107,11 @@ def _quoted(s: str, i: int) -> tuple[str, int] | None:
                 out.append(c)
                 j += 1
             else:
-                return None
+                break
         else:
             out.append(c)
             j += 1
+    dead.update(passed)
     return None
 
 
@@ -89,20 +123,7 @@ def _ends(s: str, j: int) -> bool:
     return k == n or _separator(s, k) >= 0 or (k > j and _LEAD_AND.match(s, k) is not None)
 
 
-def _group(s: str, i: int) -> int:
-    """End of the parenthesised group at i, or -1 if it never closes."""
-    depth = 0
-    for j in range(i, len(s)):
-        if s[j] == "(":
-            depth += 1
-        elif s[j] == ")":
-            depth -= 1
-            if not depth:
-                return j + 1
-    return -1
-
-
-def _bare(s: str, i: int) -> tuple[int, bool]:
+def _bare(s: str, i: int, memo: _Memo) -> tuple[int, bool]:
     """End of the bare value at i, and whether a parenthesis was left open."""
     n, opened = len(s), False
     while i < n:
@@ -111,7 +132,7 @@ def _bare(s: str, i: int) -> tuple[int, bool]:
             return n, opened
         i = m.start()
         if s[i] == "(":
-            end = -1 if opened else _group(s, i)
+            end = -1 if opened else memo.group(i)
             if end < 0:
                 opened = True
                 i += 1
@@ -126,7 +147,7 @@ def _bare(s: str, i: int) -> tuple[int, bool]:
 
 def _items(s: str) -> Iterator[tuple[str, str | None, bool]]:
     """(value, flag, whether it was quoted) of each piece; empty pieces are included."""
-    i, n, fresh = 0, len(s), True
+    i, n, fresh, memo = 0, len(s), True, _Memo(s)
     while i < n:
         while i < n and s[i] in _BLANK:
             i += 1
@@ -143,12 +164,12 @@ def _items(s: str) -> Iterator[tuple[str, str | None, bool]]:
         if not (i == 0) and (m := _LEAD_AND.match(s, i)) and _follows(s, i):
             i = m.end()
             continue
-        got = _quoted(s, i)
+        got = _quoted(s, i, memo)
         if got is not None:
             yield got[0], None, True
             i = got[1]
             continue
-        end, opened = _bare(s, i)
+        end, opened = _bare(s, i, memo)
         flag = "open_quote" if s[i] in QUOTES else "open_group" if opened else None
         yield s[i:end], flag, False
         i = end
@@ -179,11 +200,15 @@ def _connected(found: list[tuple[str, str | None, bool]]) -> list[tuple[str, str
     """Splits the last bare value at the 'and' that connects it to the list."""
     if found and not found[-1][2]:
         value, flag, _ = found[-1]
-        cuts = [m for m in _AND.finditer(value) if value.count("(", 0, m.start()) <= value.count(")", 0, m.start())]
-        if cuts:
-            m = cuts[-1]
+        m, depth, at = None, 0, 0
+        for found_and in _AND.finditer(value):
+            depth += value.count("(", at, found_and.start()) - value.count(")", at, found_and.start())
+            at = found_and.start()
+            if depth <= 0:
+                m = found_and
+        if m is not None:
             left, right = value[: m.start()], value[m.end() :]
-            inner = _quoted(right, 0) if right and right[0] in QUOTES else None
+            inner = _quoted(right, 0, _Memo(right)) if right and right[0] in QUOTES else None
             tail = (inner[0], flag, True) if inner and inner[1] == len(right.rstrip(_OUTER)) else (right, flag, False)
             return [*found[:-1], (left, None, False), tail]
     return found
@@ -204,7 +229,7 @@ def parse_cell(cell: str | None) -> list[tuple[str, str | None]]:
         found = []
         for p in parts:
             p = p.strip(_OUTER)
-            got = _quoted(p, 0) if p and p[0] in QUOTES else None
+            got = _quoted(p, 0, _Memo(p)) if p and p[0] in QUOTES else None
             found.append((got[0], None, True) if got and got[1] == len(p) else (p.rstrip(",;").rstrip(), None, False))
     else:
         found = _connected(list(_items(s)))

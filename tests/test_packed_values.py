@@ -43,3 +43,18 @@ def test_table(spark):
     assert rows == sorted([(1, 0, "a"), (1, 1, "b"), (1, 0, "a"), (1, 1, "b"), (None, 0, "q")], key=str)
     assert got.filter("id = 4").count() == 50_000
     assert split_packed(df.limit(0), "row_id", "skills").count() == 0
+
+
+@pytest.mark.parametrize("piece", ["(,", "'a,", "“a,", '"a,', "'a\\',", "“a,”b,", ' and (', '"a""b,', "'", "   "])
+def test_time_grows_with_the_length(piece):
+    import time
+
+    began = time.process_time()
+    parse_cell(piece * (500_000 // len(piece)))
+    parse_cell("x, " + piece * (500_000 // len(piece)) + "'z'”q")
+    assert time.process_time() - began < 10
+
+
+def test_what_is_known_of_a_cell_changes_no_value():
+    assert [v for v, _ in parse_cell("'a,'b',c'")] == ["a,'b", "c'"]
+    assert parse_cell("(a (b, c), d") == [("(a (b", "open_group"), ("c)", None), ("d", None)]
