@@ -24,7 +24,10 @@ def rfc4180_pieces(line: Column) -> Column:
 
 
 def well_formed(line: Column) -> Column:
-    """Whether a record is well formed by RFC 4180; linear, without backtracking."""
+    """Whether a record is well formed by RFC 4180; linear, without backtracking.
+
+    The table gives each record's bounds, so a line break ends none: outside of quotes it is a character like others.
+    """
 
     def check(p: Column) -> Column:
         n = F.size(p)
@@ -34,7 +37,7 @@ def well_formed(line: Column) -> Column:
             left = (i == 0) | (x == "") | x.startswith(",")  # after a closing quote
             right = (i == n - 1) | (x == "") | x.endswith(",")  # before an opening quote
             # An empty piece between two quotes is a doubled quote.
-            return (i % 2 == 1) | (~x.rlike("[\r\n]") & left & right & (~inner | (x == "") | (x.startswith(",") & x.endswith(","))))
+            return (i % 2 == 1) | (left & right & (~inner | (x == "") | (x.startswith(",") & x.endswith(","))))
 
         return (n % 2 == 1) & F.forall(F.transform(p, good), lambda ok: ok)
 
@@ -83,15 +86,16 @@ def _cell_rows(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, id_col: str = "line_id", line_col: str = "line") -> DataFrame:
-    """(origin, row_id, cells, reason) of CSV records as text.
+    """(origin, row_id, _key, cells, reason) of CSV records as text; _key is a hash of the text.
 
     reason is ``quoting`` (not well formed by RFC 4180), ``column_count`` (well formed, but not eight fields; a
     null line counts as this) or null; cells is null unless reason is.
     """
     got = lines.select(F.lit("recruiter_lines").alias("origin"), F.col(id_col).cast("long").alias("row_id"), F.col(line_col).alias("_line"))
+    got = got.withColumn("_key", F.xxhash64("_line"))
     got = got.withColumn("_ok", well_formed(F.col("_line"))).withColumn("_cells", F.when(F.col("_ok"), rfc4180_cells(F.col("_line"))))
     reason = F.when(~F.col("_ok"), "quoting").when(F.col("_line").isNull() | (F.size("_cells") != len(FIELDS)), "column_count")
-    return got.select("origin", "row_id", F.when(reason.isNull(), F.col("_cells")).alias("cells"), reason.alias("reason"))
+    return got.select("origin", "row_id", "_key", F.when(reason.isNull(), F.col("_cells")).alias("cells"), reason.alias("reason"))
 
 
 def bad_rows(lines: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -118,11 +122,13 @@ def row_errors(lines: DataFrame, loaded: DataFrame) -> DataFrame:
 def load_lines(lines: DataFrame, id_col: str = "line_id") -> DataFrame:
     """The records of ``lines`` that have no error, as columns: line_id and the eight fields (blank is null).
 
-    An anti-join against the errors keeps the clean rows, so one that fails any rule isn't loaded at all.
+    An anti-join against the errors keeps the clean rows, so one that fails any rule isn't loaded at all, with or without an id.
     """
     parsed = parse_lines(lines, id_col)
     rules = rule_table(lines.sparkSession)
-    cells = _cell_rows(parsed.filter("reason is null"), {r[0]: F.get("cells", F.lit(FIELDS.index(r[0]))) for r in RULES})
-    bad = _invalid(cells, rules).select("row_id").distinct()
-    clean = parsed.filter("reason is null").join(bad, "row_id", "left_anti")
-    return clean.select(F.col("row_id").alias("line_id"), *(F.nullif(F.trim(F.col("cells")[i]), F.lit("")).alias(f) for i, f in enumerate(FIELDS)))
+    # A row is known by its id and a hash of its text, so one with a null id is told from others, too.
+    good = parsed.filter("reason is null").select(F.struct("row_id", "_key").alias("row_id"), "origin", "cells")
+    cells = _cell_rows(good, {r[0]: F.get("cells", F.lit(FIELDS.index(r[0]))) for r in RULES})
+    bad = _invalid(cells, rules).select("row_id").distinct().alias("b")
+    clean = good.alias("g").join(bad, (F.col("g.row_id._key") == F.col("b.row_id._key")) & F.col("g.row_id.row_id").eqNullSafe(F.col("b.row_id.row_id")), "left_anti")
+    return clean.select(F.col("row_id.row_id").alias("line_id"), *(F.nullif(F.trim(F.col("cells")[i]), F.lit("")).alias(f) for i, f in enumerate(FIELDS)))

@@ -66,7 +66,8 @@ both_kinds AS (
 SELECT raw_id, kind, printf('%04d-%02d', a // 12, a % 12 + 1) AS first_month, printf('%04d-%02d', b // 12, b % 12 + 1) AS last_month FROM both_kinds
 """
 
-_FIELD = r'("([^"]|"")*"|[^",\r\n]*)'
+# The table gives the bounds of a record: a line break outside of quotes is a character like others.
+_FIELD = r'("([^"]|"")*"|[^",]*)'
 _YEARS = r"([0-9]+(\.[0-9]*)?|\.[0-9]+)\s*\+?"
 _ORACLE_P5 = rf"""
 WITH lines AS (
