@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 #: A contact that more groups of mutually alike names than this share is a switchboard, an agency or the like: it only ties whole names.
 SHARED_ABOVE = 6
@@ -15,29 +15,23 @@ def email_key(c: Column) -> Column:
 
 
 def local_key(c: Column) -> Column:
-    """The part in front of the at sign, or the whole of an address cut short, if it has eight characters or more."""
-    t = F.regexp_extract(F.regexp_replace(F.lower(F.trim(c)), r"\s+at\s+", "@"), r"^([^@\s]{8,})(?:@.*)?$", 1)
+    """The part in front of the at sign, or the whole of an address cut short; null for none."""
+    t = F.regexp_extract(F.regexp_replace(F.lower(F.trim(c)), r"\s+at\s+", "@"), r"^([^@\s]+)(?:@.*)?$", 1)
     return F.nullif(t, F.lit(""))
 
 
 def phone_key(c: Column) -> Column:
-    """The last nine digits of a number with nine to fifteen, without its extension; null if it isn't one."""
+    """The national part of a number, without its extension; null if it isn't one.
+
+    A country's code and a trunk zero are typed or not, so the last nine digits stand for the number, all of them if there are
+    only seven or eight. Fewer are an extension or a fragment, more than fifteen no number by E.164.
+    """
     bare = F.regexp_replace(F.lower(c), r"(?:x|ext\.?|#)\s*[0-9]{1,5}\s*$", "")
     digits = F.regexp_replace(bare, "[^0-9]", "")
     same = F.regexp_replace(digits, r"^(.)\1*$", "").eqNullSafe("")
-    return F.when(F.length(digits).between(9, 15) & ~same & ~bare.rlike("[a-z]|[0-9]e[+]"), F.substring(digits, -9, 9))
+    return F.when(F.length(digits).between(7, 15) & ~same & ~bare.rlike("[a-z]|[0-9]e[+]"), F.right(digits, F.lit(9)))
 
 
 def profile_key(c: Column) -> Column:
     """The last part of a profile's address."""
     return F.nullif(F.regexp_extract(F.lower(F.trim(c)), r"(?:^|[./])[a-z0-9-]+\.[a-z]+/(?:in/|u/|user/|~)?([^/?#\s]+)/?(?:[?#].*)?$", 1), F.lit(""))
-
-
-def of_many_kinds(entries: DataFrame, most: int = SHARED_ABOVE) -> DataFrame:
-    """(kind, key): contacts whose names have more than ``most`` kinds, the only ones that can be shared by so many people.
-
-    The kind of a name is the start of its longest part. Names are made distinct per contact first, on the map side too.
-    """
-    longest = F.array_max(F.transform(F.split("name", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    kinds = entries.select("kind", "key", F.substring(longest, 1, 3).alias("start")).distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
-    return kinds.filter(F.col("n") > most).select("kind", "key")

@@ -32,6 +32,10 @@ for _full, _shorts in NICKNAMES.items():
         _SHORT.setdefault(_s, set()).add(_full)
 
 
+_PLAIN = re.compile(r"[A-Za-z]{2,}(?: [A-Za-z]{2,})+").fullmatch
+_UNUSUAL = TITLES | SUFFIXES | {"ph", "sc", "tech"}
+
+
 def fold(text: str) -> str:
     """text in lower case without accents."""
     t = unicodedata.normalize("NFKD", text.lower().translate(_SPECIAL))
@@ -43,6 +47,10 @@ def tokens_of(name: str | None) -> tuple[str, ...]:
     """The parts of a name, given name first, without titles, degrees and accents; double names are one part."""
     if not name:
         return ()
+    if _PLAIN(name):  # most names have nothing below
+        words = name.lower().split(" ")
+        if _UNUSUAL.isdisjoint(words):
+            return tuple(words)
     t = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", name).strip()
     if "," in t:
         left, _, right = t.partition(",")
