@@ -1,14 +1,15 @@
 """Evaluation passages inside training text (problem 8).
 
-Item-sized windows of words are compared by edit distance. The CGK random walk embeds a window into three times its
-length so that windows at small edit distance get embeddings at small Hamming distance: step j writes the symbol
-under the cursor and moves the cursor on if a random bit of (j, symbol) says so. Bit sampling then takes a few
-positions of the embedding as a bucket key; repetitions with walks and samples of their own raise the recall to
-its target. Windows that share a bucket are compared exactly, so precision is 1. Equal windows have equal embeddings
-under every walk: for no edits one repetition already finds all of them.
-
-The walk is done for all windows of a batch at once, in numpy. After each sampled position the windows whose key so
-far isn't a prefix of any item's key drop out; this only saves work and changes no result.
+Windows of as many words as a passage has are compared by edit distance. The CGK random walk embeds a window into twice its length,
+so that windows at small edit distance get embeddings at small Hamming distance: step j writes the word under the
+cursor and moves the cursor on if a random bit of (j, word) says so. Bit sampling takes a few positions of the embedding as
+a bucket key; repetitions with walks and samples of their own raise the recall to its target. Windows that
+share a bucket are compared exactly, so precision is 1. Equal windows have equal embeddings under every walk, so a passage
+without any edit is always found.
+
+The random bits come from a hash of step and word, so no table grows with the vocabulary. The items' buckets are a table
+that windows of documents meet in a join by bucket; two bit filters of bounded size keep most windows from being sent there. The
+corpus is read once.
 """
 
 from __future__ import annotations
@@ -20,14 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-
-#: Bytes of item text that one pass over the corpus holds in memory; a larger item table takes several passes.
-BLOCK_BYTES = 16 << 20
-SAMPLED = 6
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from mergewell.runtime import cut
+
+#: log2 of the most bits of a filter: 32 MB are broadcast at most. A fuller filter lets more windows through to the join and changes no result.
+FILTER_BITS = 28
+#: Bits by which a key must tell one window from all item windows, and bits that one sampled position is worth.
+SELECTIVE, WORTH = 10, 5
+#: Simulated pairs of windows from which the number of repetitions follows.
+TRIALS = 4000
+#: Words hashed at a time, and hashes that a task remembers.
+CHUNK, MEMO = 1 << 19, 1 << 20
 _WORDS = re.compile(r"[^\W_]+").findall
-_FILTER_BITS = 20
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -35,200 +43,276 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS(text.lower()) if text else []
 
 
-def within(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
-    """Whether two windows are at most ``edits`` insertions, deletions and substitutions apart (banded)."""
-    if edits == 0:
-        return bool(np.array_equal(a, b))
-    n, m = len(a), len(b)
-    big = edits + 1
-    row = [min(j, big) for j in range(m + 1)]
-    for i in range(1, n + 1):
-        low, high = max(1, i - edits), min(m, i + edits)
-        new = [big] * (m + 1)
-        new[0] = min(i, big)
-        for j in range(low, high + 1):
-            new[j] = min(row[j - 1] + (a[i - 1] != b[j - 1]), row[j] + 1, new[j - 1] + 1, big)
-        row = new
-    return row[m] <= edits
-
-
-@dataclass
-class Walk:
-    """One repetition: the random bits by step and symbol, the sampled positions, and the items' keys."""
+class _Hashes(dict):
+    """The 64-bit hash of each word, remembered."""
 
-    bits: np.ndarray  # steps x symbols, 0 or 1
-    at: np.ndarray  # sampled positions, ascending
-    filters: list[np.ndarray]  # per sampled position: which key prefixes items have
-    keys: np.ndarray  # sorted distinct keys of the item windows
-    starts: np.ndarray  # where each key's item windows start in order
-    order: np.ndarray  # item windows by key
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+        return h
 
 
 def _mix(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    key = (key ^ symbol.astype(np.uint64)) * _MULTIPLIER
+    key = (key ^ symbol) * _ODD
     return key ^ (key >> np.uint64(29))
 
 
-def _keys(symbols: np.ndarray, begin: np.ndarray, width: int, bits: np.ndarray, at: np.ndarray, filters: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(indices of the windows left, their keys, key prefixes after each sample) of the windows that start at begin."""
-    alive = np.arange(len(begin))
-    cursor, key, end = begin.copy(), np.zeros(len(begin), np.uint64), begin + width
-    prefixes, n = [], 0
-    for j in range(int(at[-1]) + 1):
-        inside = cursor < end
-        now = np.where(inside, symbols[np.minimum(cursor, len(symbols) - 1)], 0)
-        if j == at[n]:
-            key = _mix(key, np.where(inside, now + 1, 0))
-            n += 1
-            if filters is None:
-                prefixes.append(key)
-            else:
-                keep = filters[n - 1][(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-                alive, cursor, key, end, now, inside = alive[keep], cursor[keep], key[keep], end[keep], now[keep], inside[keep]
-                if not len(alive):
-                    break
-        cursor = cursor + (bits[j][now] & inside)
-    return alive, key, prefixes
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Insertions, deletions and substitutions between the windows in the rows of a and of b, for all pairs at once."""
+    n, m = a.shape[1], b.shape[1]
+    row = np.repeat(np.arange(m + 1, dtype=np.int16)[None], len(a), 0)
+    for i in range(1, n + 1):
+        new = np.empty_like(row)
+        new[:, 0] = i
+        differ = (b != a[:, i - 1 : i]).astype(np.int16)
+        for j in range(1, m + 1):
+            new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + differ[:, j - 1])
+        row = new
+    return row[:, m]
 
 
 @dataclass
-class LeakIndex:
-    """The windows of one block of items, and their buckets in each repetition."""
+class Sketch:
+    """The walks and samples of all repetitions."""
 
-    vocabulary: dict[str, int]
-    symbols: np.ndarray
-    begin: np.ndarray
-    owner: np.ndarray
     width: int
-    edits: int
-    walks: list[Walk]
-
-    def search(self, texts: list[str | None]) -> set[tuple[int, int]]:
-        """(position in texts, item id) of every leak found."""
-        number = self.vocabulary.get
-        parts = [[number(w, 0) for w in words_of(t)] for t in texts]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        if not len(self.begin) or not sizes.sum():
-            return set()
-        symbols = np.fromiter((x for p in parts for x in p), np.int64, int(sizes.sum()))
-        ends = np.cumsum(sizes)
-        doc = np.repeat(np.arange(len(parts)), sizes)
-        begin = np.arange(max(0, len(symbols) - self.width + 1))
-        # A window stays in its text, and each word that no item has costs one edit.
-        strange = np.concatenate([[0], np.cumsum(symbols == 0)])
-        begin = begin[(begin + self.width <= ends[doc[begin]]) & (strange[begin + self.width] - strange[begin] <= self.edits)]
-        found: set[tuple[int, int]] = set()
-        seen: set[tuple[int, int]] = set()
-        for walk in self.walks:
-            alive, key, _ = _keys(symbols, begin, self.width, walk.bits, walk.at, walk.filters)
-            if not len(alive):
-                continue
-            at = np.searchsorted(walk.keys, key)
-            hit = walk.keys[np.minimum(at, len(walk.keys) - 1)] == key
-            for w, k in zip(alive[hit].tolist(), at[hit].tolist()):
-                b = int(begin[w])
-                d = int(doc[b])
-                for v in walk.order[walk.starts[k] : walk.starts[k + 1]].tolist():
-                    item = int(self.owner[v])
-                    if (d, item) in found or (b, v) in seen:
-                        continue
-                    seen.add((b, v))
-                    c = int(self.begin[v])
-                    if within(self.symbols[c : c + self.width], symbols[b : b + self.width], self.edits):
-                        found.add((d, item))
-        return found
-
-
-def collision_rate(width: int, edits: int, sampled: int, seed: int = 7, trials: int = 400) -> float:
-    """Chance that one repetition puts two windows ``edits`` apart into one bucket, by simulation."""
+    salts: np.ndarray  # repetitions x steps
+    at: np.ndarray  # repetitions x samples, ascending
+
+    @classmethod
+    def of(cls, width: int, sampled: int, repetitions: int, seed: int) -> Sketch:
+        rng = np.random.default_rng(seed)
+        steps = 2 * width
+        salts = rng.integers(1, 2**63, (repetitions, steps)).astype(np.uint64)
+        at = np.sort(np.stack([rng.choice(steps, min(sampled, steps), replace=False) for _ in range(repetitions)]), 1)
+        return cls(width, salts, at)
+
+    def keys(self, symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The bucket keys, windows x repetitions, of the windows of symbols that start at begin."""
+        out = np.empty((len(begin), len(self.at)), np.uint64)
+        end, last = begin + self.width, max(len(symbols) - 1, 0)
+        for r, at in enumerate(self.at):
+            cursor, key, n = begin.copy(), np.full(len(begin), self.salts[r, 0]), 0
+            for j in range(int(at[-1]) + 1):
+                inside = cursor < end
+                now = np.where(inside, symbols[np.minimum(cursor, last)], np.uint64(0))
+                if j == at[n]:
+                    key = _mix(key, now)
+                    n += 1
+                move = (((now ^ self.salts[r, j]) * _ODD) >> np.uint64(63)).astype(bool)
+                cursor += move & inside
+            out[:, r] = key
+        return out
+
+
+def repetitions_for(width: int, edits: int, sampled: int, recall: float, seed: int = 7, most: int = 64) -> int:
+    """Repetitions after which two windows ``edits`` apart have met with probability ``recall``, by simulation.
+
+    Windows differ by substitutions or, where the edits suffice, by a word left out and another put in elsewhere.
+    """
     if edits == 0:
-        return 1.0
+        return 1
     rng = np.random.default_rng(seed)
-    hits = 0
-    for _ in range(trials):
-        a = rng.integers(1, 5000, width)
-        b = a.copy()
-        for _ in range(edits):  # substitutions and shifts alike
-            i = int(rng.integers(0, width))
-            if rng.random() < 0.5:
-                b[i] = rng.integers(1, 5000)
+    a = rng.integers(1, 2**63, (TRIALS, width)).astype(np.uint64)
+    b = a.copy()
+    for t in range(TRIALS):
+        left = edits
+        while left:
+            k = int(rng.integers(0, width))
+            if left >= 2 and rng.random() < 0.5:
+                b[t] = np.insert(np.delete(b[t], k), int(rng.integers(0, width)), rng.integers(1, 2**63))
+                left -= 2
             else:
-                b = np.concatenate([np.delete(b, i), rng.integers(1, 5000, 1)])
-        bits = rng.integers(0, 2, (3 * width, 5000))
-        at = np.sort(rng.choice(3 * width, sampled, replace=False))
-        both = np.concatenate([a, b])
-        _, key, _ = _keys(both, np.array([0, width]), width, bits, at, None)
-        hits += bool(key[0] == key[1])
-    return max(hits / trials, 1 / trials)
-
-
-def repetitions_for(width: int, edits: int, sampled: int, recall: float) -> int:
-    """Repetitions after which two windows ``edits`` apart have met with probability ``recall``."""
-    p = collision_rate(width, edits, sampled)
-    return 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
-
-
-def build_index(items: list[tuple[int, str | None]], width: int, edits: int, sampled: int, recall: float, seed: int) -> LeakIndex:
-    vocabulary: dict[str, int] = {}
-    symbols, begin, owner = [], [], []
-    for item, text in items:
-        w = words_of(text)
-        base = len(symbols)
-        symbols += [vocabulary.setdefault(x, len(vocabulary) + 1) for x in w]
-        for k in range(len(w) - width + 1):
-            begin.append(base + k)
-            owner.append(item)
-    s, b, o = np.array(symbols, np.int64), np.array(begin, np.int64), np.array(owner, np.int64)
-    walks = []
-    rng = np.random.default_rng(seed)
-    for _ in range(repetitions_for(width, edits, sampled, recall) if len(b) else 0):
-        bits = rng.integers(0, 2, (3 * width, len(vocabulary) + 1)).astype(np.int64)
-        at = np.sort(rng.choice(3 * width, sampled, replace=False))
-        _, key, prefixes = _keys(s, b, width, bits, at, None)
-        filters = []
-        for p in prefixes:
-            f = np.zeros(1 << _FILTER_BITS, bool)
-            f[(p >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            filters.append(f)
-        order = np.argsort(key, kind="stable")
-        keys, starts = np.unique(key[order], return_index=True)
-        walks.append(Walk(bits, at, filters, keys, np.append(starts, len(key)), order))
-    return LeakIndex(vocabulary, s, b, o, width, edits, walks)
-
-
-def find_leaks(
-    documents: DataFrame, items: DataFrame, words: int = 12, edits: int = 0, recall: float = 0.99, sampled: int = SAMPLED,
-    block_bytes: int = BLOCK_BYTES, seed: int = 20,
-) -> DataFrame:
-    """(doc_id, item_id): documents that hold a run of ``words`` words of an item, give or take ``edits`` word edits.
+                b[t, k] = rng.integers(1, 2**63)
+                left -= 1
+    sketch = Sketch.of(width, sampled, most, seed)
+    begin = np.arange(TRIALS) * width
+    met = np.logical_or.accumulate(sketch.keys(a.ravel(), begin) == sketch.keys(b.ravel(), begin), 1).mean(0)
+    enough = np.flatnonzero(met >= recall)
+    if not len(enough):
+        raise ValueError(f"{most} repetitions don't reach a recall of {recall} for {edits} edits in {width} words")
+    return int(enough[0]) + 1
+
+
+def _windows(texts: list[str | None], width: int, hashes: _Hashes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, starts of windows, text of each start) of runs of texts of about CHUNK words; no window crosses a text's end."""
+    part: list[np.ndarray] = []
+    owner, size = [], 0
+    for k, text in enumerate(texts):
+        words = words_of(text)
+        if len(words) >= width:
+            part.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+            owner.append(k)
+            size += len(words)
+        if part and (size >= CHUNK or k == len(texts) - 1):
+            yield _laid_out(part, owner, width)
+            part, owner, size = [], [], 0
+    if part:
+        yield _laid_out(part, owner, width)
+
+
+def _laid_out(part: list[np.ndarray], owner: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(p) for p in part])
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(part)), sizes)
+    begin = np.arange(int(ends[-1]))
+    begin = begin[begin + width <= ends[text]]
+    return np.concatenate(part), begin, np.array(owner)[text[begin]]
+
+
+def _digest(symbols: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window's words."""
+    key = np.full(len(begin), np.uint64(width))
+    for k in range(width):
+        key = _mix(key, symbols[begin + k])
+    return key
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel().view(np.int64)))
+
+
+def item_windows(items: DataFrame, width: int) -> DataFrame:
+    """(item_id, w, words): the windows of each item, w a hash of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            for symbols, begin, owner in _windows(b.column(1).to_pylist(), width, hashes):
+                w = _digest(symbols, begin, width)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(w.view(np.int64)), _lists(symbols[begin[:, None] + np.arange(width)])], names=["item_id", "w", "words"])
+
+    return items.mapInArrow(run, "item_id long, w long, words array<long>")
+
+
+def _with_keys(windows: DataFrame, sketch: Sketch) -> DataFrame:
+    """windows (w, words) with ``keys``, one per repetition."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            symbols = b.values.to_numpy().view(np.uint64) if len(b) else np.zeros(0, np.uint64)
+            symbols = symbols[b.offsets[0].as_py() : b.offsets[-1].as_py()] if len(b) else symbols
+            yield _lists(sketch.keys(symbols, np.arange(len(b)) * sketch.width))
+
+    return windows.withColumn("keys", F.arrow_udf(run, "array<long>")("words"))
+
+
+class BitFilter:
+    """A set of hashes, in which members are always and others seldom found; each sets two bits."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.shift = bits, np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+
+    @staticmethod
+    def places(h: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return (h * _ODD) >> shift, (h * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        found = np.ones(h.shape, bool)
+        for at in self.places(h, self.shift):
+            found &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return found
+
+    @classmethod
+    def of(cls, column: DataFrame, members: int) -> BitFilter:
+        """Of the one long column, with about so many members; the bits are set by the tasks, united by Spark."""
+        log2 = min(FILTER_BITS, max(16, math.ceil(math.log2(max(members, 1) * 32))))
+        shift = np.uint64(64 - log2)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(1 << (log2 - 3), np.uint8)
+            for b in batches:
+                for at in cls.places(b.column(0).to_numpy().view(np.uint64), shift):
+                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+            eights = bits.view(np.int64)
+            at = np.flatnonzero(eights)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(eights[at])], names=["at", "eight"])
+
+        rows = column.mapInArrow(run, "at int, eight long").groupBy("at").agg(F.bit_or("eight").alias("eight")).toArrow()
+        eights = np.zeros(1 << (log2 - 6), np.int64)
+        eights[rows.column("at").to_numpy()] = rows.column("eight").to_numpy()
+        return cls(eights.view(np.uint8))
+
+
+def _candidates(documents: DataFrame, sketch: Sketch, edits: int, known: BitFilter, buckets: BitFilter) -> DataFrame:
+    """(doc_id, w, words, keys) of the windows of documents that may share a bucket with an item's; the words and keys of a
+    window stand in one of its rows of each task at least, and are null in others."""
+    width = sketch.width
+    shared = documents.sparkSession.sparkContext.broadcast((sketch, known, buckets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, known, buckets = shared.value
+        hashes, seen = _Hashes(), set()
+        for b in batches:
+            for symbols, begin, owner in _windows(b.column(1).to_pylist(), width, hashes):
+                # Each word that no item has costs one edit.
+                strange = np.concatenate([[0], np.cumsum(~known.has(symbols))])
+                kept = strange[begin + width] - strange[begin] <= edits
+                begin, owner = begin[kept], owner[kept]
+                keys = sketch.keys(symbols, begin)
+                kept = buckets.has(keys).any(1)
+                begin, owner, keys = begin[kept], owner[kept], keys[kept]
+                if not len(begin):
+                    continue
+                w = _digest(symbols, begin, width)
+                # A document's repeated windows say nothing new.
+                _, first = np.unique(np.stack([owner.astype(np.uint64), w]), axis=1, return_index=True)
+                begin, owner, keys, w = begin[first], owner[first], keys[first], w[first]
+                if len(seen) > MEMO:
+                    seen.clear()
+                fresh = np.array([not (x in seen or seen.add(x)) for x in w.tolist()])
+                null = pa.array(~fresh)
+                at = pa.array(np.cumsum(fresh) - 1, mask=~fresh)
+                words = _lists(symbols[begin[fresh][:, None] + np.arange(width)]) if fresh.any() else None
+                some = _lists(keys[fresh]) if fresh.any() else None
+                empty = pa.nulls(len(null), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(owner)), pa.array(w.view(np.int64)), words.take(at) if words is not None else empty, some.take(at) if some is not None else empty],
+                    names=["doc_id", "w", "words", "keys"],
+                )
+
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("doc_id is not null and text is not null")
+    return source.mapInArrow(run, "doc_id long, w long, words array<long>, keys array<long>")
+
+
+def _distance(a: str, b: str) -> Column:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            sides = [s.flatten().to_numpy().reshape(len(s), -1) if len(s) else np.zeros((0, 1), np.int64) for s in (x, y)]
+            yield pa.array(distances(*sides).astype(np.int32))
+
+    return F.arrow_udf(run, "int")(a, b)
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, edits: int = 1, recall: float = 0.99, sampled: int | None = None, seed: int = 20) -> DataFrame:
+    """(doc_id, item_id, edits): documents that hold a run of ``words`` words of an item, give or take ``edits`` word edits, with the
+    fewest edits found.
 
     Words are the maximal runs of letters and digits in lower case. Items with fewer words, null and empty texts
-    leak nowhere; repeated rows of documents give their pair once; ids must not be null (such rows are left out);
-    an empty table gives an empty result. With no edits every leak is found; else each is found with probability
-    ``recall`` at least, and none is wrong.
+    leak nowhere; repeated rows of documents or items give their pair once; ids must not be null (such rows are left out);
+    an empty table gives an empty result. Leaks without an edit are all found, others with probability ``recall`` each at
+    least, and none is wrong.
 
-    The corpus is scanned once per block of items, without a shuffle before the last step, which makes pairs of
-    repeated documents one. Only items are ever gathered, at most ``block_bytes`` of text at a time; their number
-    is summed first, so a larger table takes more passes and not more memory.
+    ``sampled`` positions make a key; by default as many as the number of item windows asks for. The corpus is read
+    once; of it only windows that may share a bucket are written to the checkpoint folder and meet the items' buckets in a join. No
+    text comes to the driver: only two bit filters do, each of at most 2 ** FILTER_BITS bits.
     """
-    spark = documents.sparkSession
     kept = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("item_id is not null and text is not null")
-    total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("doc_id is not null and text is not null")
-    out = None
-    for k in range(blocks):
-        part = kept if blocks == 1 else kept.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        rows = [(r[0], r[1]) for r in part.orderBy("item_id").collect()]
-        shared = spark.sparkContext.broadcast(build_index(rows, words, edits, sampled, recall, seed))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for b in batches:
-                pairs = sorted(index.search(b.column(1).to_pylist()))
-                at = pa.array([d for d, _ in pairs], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([i for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
-
-        found = source.mapInArrow(run, "doc_id long, item_id long")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    owned = cut(item_windows(kept, words).dropDuplicates(["item_id", "w"]))
+    windows = owned.groupBy("w").agg(F.any_value("words").alias("words"))
+    if sampled is None:
+        sampled = math.ceil((math.log2(max(owned.count(), 2)) + SELECTIVE) / WORTH)
+    sketch = Sketch.of(words, sampled, repetitions_for(words, edits, sampled, recall), seed)
+    windows = cut(_with_keys(windows, sketch))
+    n = windows.count()
+    known = BitFilter.of(windows.select(F.explode("words")), n)  # about as many words as windows, as these overlap
+    buckets = BitFilter.of(windows.select(F.explode("keys")), n * len(sketch.at))
+    near = cut(_candidates(documents, sketch, edits, known, buckets))
+    met = near.filter("words is not null").groupBy("w").agg(F.any_value("words").alias("words"), F.any_value("keys").alias("keys"))
+    of_items = windows.select(F.col("w").alias("v"), F.explode("keys").alias("key"))
+    pairs = met.select("w", F.explode("keys").alias("key")).join(of_items, "key").select("w", "v").distinct()
+    both = pairs.join(met.select("w", F.col("words").alias("x")), "w").join(windows.select(F.col("w").alias("v"), F.col("words").alias("y")), "v")
+    close = both.withColumn("edits", _distance("x", "y")).filter(F.col("edits") <= edits).select("w", "v", "edits")
+    items_of = close.join(owned.select(F.col("w").alias("v"), "item_id"), "v").groupBy("w", "item_id").agg(F.min("edits").alias("edits"))
+    return near.select("doc_id", "w").join(items_of, "w").groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
