@@ -8,8 +8,9 @@ share a bucket are compared exactly, so precision is 1. Equal windows have equal
 without any edit is always found.
 
 The random bits come from a hash of step and word, so no table grows with the vocabulary. The items' buckets are a table
-that windows of documents meet in a join by bucket; two bit filters of bounded size keep most windows from being sent there. The
-corpus is read once.
+that windows of documents meet in a join by bucket. Two bit filters of bounded size save work and change no result: one lets only windows
+walk that have a run of words in common with an item, without which they are too many edits away; the other lets only windows
+into the join whose bucket an item has. The corpus is read once.
 """
 
 from __future__ import annotations
@@ -85,8 +86,9 @@ class Sketch:
         rng = np.random.default_rng(seed)
         steps = 2 * width
         salts = rng.integers(1, 2**63, (repetitions, steps)).astype(np.uint64)
-        at = np.sort(np.stack([rng.choice(steps, min(sampled, steps), replace=False) for _ in range(repetitions)]), 1)
-        return cls(width, salts, at)
+        # One position from each of as many equal stretches: neighbours would often hold the same word.
+        edges = np.linspace(0, steps, min(sampled, steps) + 1).round().astype(np.int64)
+        return cls(width, salts, np.stack([rng.integers(edges[:-1], edges[1:]) for _ in range(repetitions)]))
 
     def keys(self, symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """The bucket keys, windows x repetitions, of the windows of symbols that start at begin."""
@@ -173,17 +175,26 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel().view(np.int64)))
 
 
-def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, w, words): the windows of each item, w a hash of its words."""
+def run_length(width: int, edits: int) -> int:
+    """Words in a row that two windows have in common at least if they are ``edits`` apart: these leave width - edits words in edits + 1 runs."""
+    return max(1, -(-(width - edits) // (edits + 1)))
+
+
+def item_windows(items: DataFrame, width: int, run_words: int) -> DataFrame:
+    """(item_id, w, words, runs): the windows of each item, w a hash of its words, runs those of its runs of ``run_words`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
             for symbols, begin, owner in _windows(b.column(1).to_pylist(), width, hashes):
                 w = _digest(symbols, begin, width)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(w.view(np.int64)), _lists(symbols[begin[:, None] + np.arange(width)])], names=["item_id", "w", "words"])
+                starts = begin[:, None] + np.arange(width - run_words + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(owner)), pa.array(w.view(np.int64)), _lists(symbols[begin[:, None] + np.arange(width)]), _lists(_digest(symbols, starts.ravel(), run_words).reshape(starts.shape))],
+                    names=["item_id", "w", "words", "runs"],
+                )
 
-    return items.mapInArrow(run, "item_id long, w long, words array<long>")
+    return items.mapInArrow(run, "item_id long, w long, words array<long>, runs array<long>")
 
 
 def _with_keys(windows: DataFrame, sketch: Sketch) -> DataFrame:
@@ -235,20 +246,20 @@ class BitFilter:
         return cls(eights.view(np.uint8))
 
 
-def _candidates(documents: DataFrame, sketch: Sketch, edits: int, known: BitFilter, buckets: BitFilter) -> DataFrame:
+def _candidates(documents: DataFrame, sketch: Sketch, run_words: int, runs: BitFilter, buckets: BitFilter) -> DataFrame:
     """(doc_id, w, words, keys) of the windows of documents that may share a bucket with an item's; the words and keys of a
     window stand in one of its rows of each task at least, and are null in others."""
     width = sketch.width
-    shared = documents.sparkSession.sparkContext.broadcast((sketch, known, buckets))
+    shared = documents.sparkSession.sparkContext.broadcast((sketch, runs, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, known, buckets = shared.value
+        sketch, runs, buckets = shared.value
         hashes, seen = _Hashes(), set()
         for b in batches:
             for symbols, begin, owner in _windows(b.column(1).to_pylist(), width, hashes):
-                # Each word that no item has costs one edit.
-                strange = np.concatenate([[0], np.cumsum(~known.has(symbols))])
-                kept = strange[begin + width] - strange[begin] <= edits
+                # Windows without a run of words in common with an item's are too far from it; walks are for the others.
+                in_items = np.concatenate([[0], np.cumsum(runs.has(_digest(symbols, np.arange(len(symbols) - run_words + 1), run_words)))])
+                kept = in_items[begin + width - run_words + 1] > in_items[begin]
                 begin, owner = begin[kept], owner[kept]
                 keys = sketch.keys(symbols, begin)
                 kept = buckets.has(keys).any(1)
@@ -299,16 +310,16 @@ def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, edits: i
     text comes to the driver: only two bit filters do, each of at most 2 ** FILTER_BITS bits.
     """
     kept = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("item_id is not null and text is not null")
-    owned = cut(item_windows(kept, words).dropDuplicates(["item_id", "w"]))
-    windows = owned.groupBy("w").agg(F.any_value("words").alias("words"))
+    run_words = run_length(words, edits)
+    owned = cut(item_windows(kept, words, run_words).dropDuplicates(["item_id", "w"]))
     if sampled is None:
         sampled = math.ceil((math.log2(max(owned.count(), 2)) + SELECTIVE) / WORTH)
     sketch = Sketch.of(words, sampled, repetitions_for(words, edits, sampled, recall), seed)
-    windows = cut(_with_keys(windows, sketch))
+    windows = cut(_with_keys(owned.groupBy("w").agg(F.any_value("words").alias("words"), F.any_value("runs").alias("runs")), sketch))
     n = windows.count()
-    known = BitFilter.of(windows.select(F.explode("words")), n)  # about as many words as windows, as these overlap
-    buckets = BitFilter.of(windows.select(F.explode("keys")), n * len(sketch.at))
-    near = cut(_candidates(documents, sketch, edits, known, buckets))
+    # As many runs as windows, about, for these overlap.
+    runs, buckets = BitFilter.of(windows.select(F.explode("runs")), n), BitFilter.of(windows.select(F.explode("keys")), n * len(sketch.at))
+    near = cut(_candidates(documents, sketch, run_words, runs, buckets))
     met = near.filter("words is not null").groupBy("w").agg(F.any_value("words").alias("words"), F.any_value("keys").alias("keys"))
     of_items = windows.select(F.col("w").alias("v"), F.explode("keys").alias("key"))
     pairs = met.select("w", F.explode("keys").alias("key")).join(of_items, "key").select("w", "v").distinct()
