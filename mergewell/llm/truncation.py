@@ -5,7 +5,8 @@ there), how often the text stops at such a place, by a line's or the text's end,
 is scored with it: texts that end where others nearly always go on were cut. The context is read backwards in two
 ways that are scored apart and added: its last 1, 3 and 5 characters; and the shape of its line (its first
 word, how many words it has, how it ends, whether a sentence came before), which tells headings, links and list items
-from sentences. Longer contexts are smoothed by shorter ones. Digits count as one, letters in lower case.
+from sentences. Longer contexts are smoothed by shorter ones. Digits count as one. A text that ends as a sentence does is
+scored by its characters alone: how long its last line is says nothing about it then.
 
 A mark put in place of the rest (an ellipsis or "read more" on the line of the content) is taken off first, in
 training too, so that lines which always carry one are known as such.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mergewell.runtime import cut
@@ -46,12 +48,14 @@ _OUTER = " \t\r\n\v\f  　​﻿\x00\x1c\x1d\x1e\x1f\x85"
 _SENTENCE = ".!?。！？"
 #: A full stop of East Asian text whose bytes were read as another charset.
 _MISREAD_STOPS = ("ã€‚", "ã\x80\x82", "¡£")
+#: A byte order mark whose bytes were read as another charset: nothing visible.
+_MISREAD_MARK = "ï»¿"
 _CLOSERS = "\"'”’»“)]」』"
 
 
 def split_mark(text: str) -> tuple[str, bool]:
     """The text up to its last visible character, without a mark that stands behind content; whether there was one."""
-    t = text.rstrip(_OUTER)
+    t = text.removeprefix(_MISREAD_MARK).rstrip(_OUTER)
     begin = t.rfind("\n") + 1
     m = _MARK.search(t, begin)
     if m is not None and t[begin : m.start()].strip(_OUTER + "-*•\"'“”«»„"):
@@ -70,7 +74,8 @@ class Places:
     def __init__(self, texts: list[str]) -> None:
         # Each text is followed by a line break, its end; so the last place of a text is a stop.
         joined = "\n".join(texts) + "\n"
-        code = np.frombuffer(joined.lower().encode("utf-32-le", "replace"), np.uint32) if len(joined.lower()) == len(joined) else np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+        # Capitals stay: a heading or a menu is known by them.
+        code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         digit = (code >= 48) & (code <= 57)
         code = np.where(digit, np.uint32(48), code)
         n = len(code)
@@ -91,7 +96,7 @@ class Places:
         doc_of_line = np.searchsorted(doc_begin, begin, side="right") - 1
         before = np.where(begin > doc_begin[doc_of_line], enders[np.maximum(begin - 1, 0)] - enders[doc_begin[doc_of_line]] + ender[doc_begin[doc_of_line]], 0) > 0
         first = code[begin].astype(np.uint64)
-        letter = ((first >= 97) & (first <= 122)) | ((first >= 0xC0) & (first < 0x2000)) | (first > 0x2E7F)
+        letter = ((first >= 97) & (first <= 122)) | ((first >= 65) & (first <= 90)) | ((first >= 0xC0) & (first < 0x2000)) | (first > 0x2E7F)
         kind = np.where(letter, np.uint64(97), first)
         head = _mix(kind, np.uint64(5))  # the first word of each line, up to 12 characters
         going = np.ones(len(begin), bool)
@@ -119,7 +124,7 @@ class Places:
             self.buckets.append((h >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64) + int(offset))
         self.kept = ~newline & ~blank
         # The line's shape is looked at where a word ends; scripts without blanks have such places everywhere.
-        word = ((code >= 97) & (code <= 122)) | (code == 48) | ((code >= 0xC0) & (code < 0x2000))
+        word = ((code >= 97) & (code <= 122)) | ((code >= 65) & (code <= 90)) | (code == 48) | ((code >= 0xC0) & (code < 0x2000))
         self.ended = self.kept & ~(word & np.concatenate([word[1:], [False]]))
         self.stops = np.concatenate([newline[1:], [True]])
         # A blank before the line's end belongs to the end.
@@ -139,20 +144,29 @@ def count_places(texts: list[str], stops: np.ndarray, goes: np.ndarray) -> None:
         goes[low : low + size] += np.bincount(b[go] - low, minlength=size)
 
 
-def final_scores(texts: list[str], stops: np.ndarray, goes: np.ndarray) -> np.ndarray:
-    """Log-odds that a text stops where these do; each text's own end is left out of the counts."""
+def final_counts(texts: list[str], stops: np.ndarray, goes: np.ndarray) -> np.ndarray:
+    """How often a text stops and goes on where these end: texts x contexts (of all chains) x 2."""
     p = Places(texts)
-    total = np.zeros(len(texts))
-    k = 0
+    at = np.stack([b[p.last] for b in p.buckets], 1)
+    return np.stack([stops[at], goes[at]], 2).astype(np.int64)
+
+
+def log_odds(counts: list[tuple[Column, Column]], copies: Column, closed: Column) -> Column:
+    """Log-odds that a text stops where one does, from (stops, goes) of its contexts; its own end and those of its copies are left out.
+
+    closed: it ends as a sentence does, so the line's shape isn't looked at.
+    """
+    total, k = F.lit(0.0), 0
     for chain in CHAINS:
-        rate = np.full(len(texts), 0.05)
+        rate = F.lit(0.05)
         for _ in chain:
-            at = p.buckets[k][p.last]
-            s, g = np.maximum(stops[at] - 1, 0).astype(float), goes[at].astype(float)
+            s, g = counts[k]
+            s = F.greatest(s - copies, F.lit(0))
             rate = (s + PRIOR * rate) / (s + g + PRIOR)
             k += 1
-        rate = np.clip(rate, 1e-6, 1 - 1e-6)
-        total += np.log(rate / (1 - rate))
+        rate = F.least(F.greatest(rate, F.lit(1e-6)), F.lit(1 - 1e-6))
+        odds = F.log(rate / (1 - rate))
+        total = total + (odds if chain is CHAINS[0] else F.when(closed, F.lit(0.0)).otherwise(odds))
     return total
 
 
@@ -179,7 +193,9 @@ def train(documents: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.
             some = at[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(stops[some]), pa.array(goes[some])], names=["bucket", "stops", "goes"])
 
-    counted = documents.select(F.col(text_col).alias("t")).filter("t is not null").mapInArrow(run, "bucket int, stops long, goes long")
+    # As many tasks as run at a time: each sends up to BUCKETS counters, so more of them would send more for the same sums.
+    texts = documents.select(F.col(text_col).alias("t")).filter("t is not null").coalesce(max(1, documents.sparkSession.sparkContext.defaultParallelism))
+    counted = texts.mapInArrow(run, "bucket int, stops long, goes long")
     sums = counted.groupBy("bucket").agg(F.sum("stops").alias("stops"), F.sum("goes").alias("goes")).toArrow()
     stops, goes = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     at = sums.column("bucket").to_numpy()
@@ -207,27 +223,36 @@ def language(c: Column) -> Column:
 
 
 def score_texts(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, source, lang, score, marked, done) of every document with visible text.
+    """(doc_id, source, lang, score, marked) of every document with visible text.
 
-    score: log-odds that texts stop where this one does; done: it ends as a sentence does and bears no mark.
+    score: log-odds that other texts stop where this one does. Copies of a text, whatever mark and blanks end them, don't speak for each
+    other: they are known by a hash, counted, and their ends are taken from the counts.
     """
     shared = documents.sparkSession.sparkContext.broadcast(tuple(np.minimum(x, 2**31 - 1).astype(np.int32) for x in model))
+    contexts = sum(len(chain) for chain in CHAINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stops, goes = shared.value
         for b in batches:
             ends = [split_mark(t) if t else ("", False) for t in b.column(3).to_pylist()]
             kept = [k for k, (t, _) in enumerate(ends) if t]
-            scores = [final_scores(texts, stops, goes) for texts in _chunks([t for t, _ in ends])]
+            parts = [final_counts(texts, stops, goes).reshape(len(texts), -1) for texts in _chunks([t for t, _ in ends])]
+            counts = np.concatenate(parts) if parts else np.zeros((0, 2 * contexts), np.int64)
             at = pa.array(kept, pa.int64())
+            digest = np.array([xxhash.xxh64_intdigest(ends[k][0].encode("utf-8", "surrogatepass")) for k in kept], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.concatenate(scores) if scores else np.zeros(0)),
-                 pa.array([ends[k][1] for k in kept], pa.bool_()), pa.array([not ends[k][1] and finishes(ends[k][0]) for k in kept], pa.bool_())],
-                names=["doc_id", "source", "lang", "score", "marked", "done"],
+                [b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array([ends[k][1] for k in kept], pa.bool_()), pa.array([not ends[k][1] and finishes(ends[k][0]) for k in kept], pa.bool_()), pa.array(digest),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * 2 * contexts, pa.int32()), pa.array(counts.ravel()))],
+                names=["doc_id", "source", "lang", "marked", "closed", "digest", "counts"],
             )
 
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), language(F.col("lang")).alias("lang"), F.col("text").alias("text"))
-    return src.mapInArrow(run, "doc_id long, source string, lang string, score double, marked boolean, done boolean")
+    # Read twice, for the copies and for the scores: a few numbers per text, written to the checkpoint folder.
+    ends = cut(src.mapInArrow(run, "doc_id long, source string, lang string, marked boolean, closed boolean, digest long, counts array<long>"))
+    copies = ends.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    counts = [(F.col("counts")[2 * k], F.col("counts")[2 * k + 1]) for k in range(contexts)]
+    score = log_odds(counts, F.coalesce("copies", F.lit(1)), F.col("closed"))
+    return ends.join(copies, "digest", "left").select("doc_id", "source", "lang", score.alias("score"), "marked")
 
 
 def valleys(count: dict[str, dict[int, int]]) -> dict[str, float]:
@@ -257,7 +282,7 @@ def valleys(count: dict[str, dict[int, int]]) -> dict[str, float]:
 
 def thresholds(scored: DataFrame) -> dict[str, float]:
     """The score between cut and complete texts per language. The histogram has at most a few bins per language."""
-    bins = scored.filter("not marked and not done").groupBy("lang", F.floor(F.col("score") / BIN).cast("int").alias("bin")).count()
+    bins = scored.filter("not marked").groupBy("lang", F.floor(F.col("score") / BIN).cast("int").alias("bin")).count()
     count: dict[str, dict[int, int]] = {}
     for lang, b, n in bins.collect():
         count.setdefault(lang, {})[b] = n
@@ -267,19 +292,18 @@ def thresholds(scored: DataFrame) -> dict[str, float]:
 def truncated(documents: DataFrame) -> DataFrame:
     """(doc_id, source, lang, score, marked) of the documents whose text was cut off.
 
-    A text was cut if it ends where others go on (its score lies under its language's threshold, and it doesn't end as
-    a sentence does), or with a mark in place of the rest behind content that others don't end with. Null, empty and
+    A text was cut if it ends where others go on (its score lies under its language's threshold), or with a mark in place
+    of the rest behind content that others don't end with. Null, empty and
     blank texts weren't cut; a copy of a cut text was; repeated rows and null ids are kept. Columns other than
     doc_id, source, lang and text aren't read.
     """
-    # Read twice, by the thresholds and by the result: a few numbers per text, written to the checkpoint folder.
-    scored = cut(score_texts(documents, train(documents)))
+    scored = cut(score_texts(documents, train(documents)))  # read twice, by the thresholds and by the result
     by_lang = thresholds(scored)
     limit = F.lit(DEFAULT_THRESHOLD)
     for lang, t in sorted(by_lang.items()):
         limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
-    stops_early = F.when(F.col("marked"), F.col("score") < MARKED_THRESHOLD).otherwise(~F.col("done") & (F.col("score") < limit))
-    return scored.filter(stops_early).drop("done")
+    stops_early = F.when(F.col("marked"), F.col("score") < MARKED_THRESHOLD).otherwise(F.col("score") < limit)
+    return scored.filter(stops_early)
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:

@@ -43,6 +43,9 @@ def test_planted_cuts(spark):
     # A copy of a cut text counts too.
     again = df.unionByName(df.filter(F.col("doc_id") == 10).withColumn("doc_id", F.lit(7777).cast("long")))
     assert {10, 7777} <= {r.doc_id for r in T.truncated(again).collect()} or 10 not in got
+    # However many copies it has: they don't speak for each other.
+    many = df.unionByName(df.filter("doc_id = 20").crossJoin(spark.range(300)).select((F.col("id") + 20_000).alias("doc_id"), "text", "lang", "source", "score"))
+    assert 20 not in got or {20, 20_000, 20_299} <= {r.doc_id for r in T.truncated(many).collect()}
     rates = {r.source: r for r in T.truncation_rates(df).collect()}
     assert set(rates) == {"s0", "s1", "s2", None} and rates[None].texts == 0 and rates[None].share is None
     assert sum(r.truncated for r in rates.values()) == len(got)
@@ -56,6 +59,7 @@ def test_empty_table(spark):
 def test_marks():
     assert T.split_mark("The valley is…") == ("The valley is", True)
     assert T.split_mark("Done.\n\nRead more »")[1] is False
+    assert T.split_mark("ï»¿ \n") == ("", False)
     assert T.split_mark("abc [...] ")[0] == "abc" and T.split_mark("  ") == ("", False)
 
 
