@@ -78,11 +78,12 @@ SELECT key, n, k, i, substring(key, CAST(floor(i * n / (k + 1)) AS INT) + 1, CAS
 """
 
 # Of a reading with m letters, against keys with n: segment i, which begins at p, can only stand at p + d with
-# |d| <= i and |d - (m - n)| <= k - i; otherwise an earlier or a later segment matches as well.
+# |d| <= i and |d - (m - n)| <= k - i; otherwise an earlier or a later segment matches as well. The least key with edits has five
+# letters, of which two may be missing; only lengths that keys have are looked for.
 _PROBES = f"""
 WITH sized AS (SELECT DISTINCT form, length(form) AS m FROM {{forms}}),
-lengths AS (SELECT form, m, explode(sequence(greatest(5, m - 4), m + 4)) AS n FROM sized WHERE m BETWEEN 4 AND 80),
-bounded AS (SELECT form, m, n, {_allowed('n')} AS k FROM lengths WHERE abs(m - n) <= {_allowed('n')}),
+lengths AS (SELECT form, m, explode(sequence(greatest(5, m - 4), m + 4)) AS n FROM sized WHERE m > 2),
+bounded AS (SELECT l.form, l.m, l.n, {_allowed('l.n')} AS k FROM lengths l LEFT SEMI JOIN {{sizes}} z ON l.n = z.n WHERE abs(l.m - l.n) <= {_allowed('l.n')}),
 parts AS (SELECT *, explode(sequence(0, k)) AS i FROM bounded WHERE k > 0),
 places AS (
   SELECT *, CAST(floor(i * n / (k + 1)) AS INT) AS p, CAST(floor((i + 1) * n / (k + 1)) - floor(i * n / (k + 1)) AS INT) AS w,
@@ -95,12 +96,13 @@ _CANDIDATES = "SELECT DISTINCT p.form, s.key FROM {probes} p JOIN {segments} s O
 
 
 def pigeonhole_pairs(spark: SparkSession, forms: DataFrame, keys: DataFrame) -> DataFrame:
-    """(form, key, distance) of all forms within the edits that a key's length allows; exact and complete.
+    """(form, key, distance) of all forms within the edits that a key's length allows; exact and complete, whatever the length.
 
-    forms: column form; keys: columns key and fuzzy. Null and too short forms have no pair.
+    forms: column form; keys: columns key and fuzzy. Null forms and forms of one or two letters, from which every key is too far, have no pair.
     """
     segments = sql(spark, _SEGMENTS, keys=keys)
-    probes = sql(spark, _PROBES, forms=forms)
+    sizes = sql(spark, "SELECT DISTINCT length(key) AS n FROM {keys} WHERE fuzzy", keys=keys)
+    probes = sql(spark, _PROBES, forms=forms, sizes=sizes)
     found = sql(spark, _CANDIDATES, probes=probes, segments=segments)
     return sql(spark, f"""
         SELECT form, key, distance FROM (
@@ -143,7 +145,7 @@ def match_skills(spark: SparkSession, values: DataFrame, skill_ref: DataFrame) -
         WITH firsts AS (SELECT min(ref_id) AS ref_id, split_part(words, ' ', 1) AS w FROM {names} GROUP BY 2 HAVING count(DISTINCT ref_id) = 1),
         heads AS (SELECT f.ref_id, f.w FROM firsts f JOIN {names} n ON n.ref_id = f.ref_id AND n.words LIKE concat(f.w, ' %') WHERE length(f.w) >= 4)
         SELECT replace(words, ' ', '') AS key, words, min(ref_id) AS ref_id, bool_or(fuzzy) AS fuzzy, 0 AS weak FROM {names} WHERE words <> '' GROUP BY 1, 2
-        UNION ALL SELECT w, w, min(ref_id), true, 1 FROM heads WHERE w NOT IN (SELECT replace(words, ' ', '') FROM {names}) GROUP BY w""", names=names)
+        UNION ALL SELECT h.w, h.w, min(h.ref_id), true, 1 FROM heads h LEFT ANTI JOIN {names} n ON h.w = replace(n.words, ' ', '') GROUP BY h.w""", names=names)
     # Keys and readings are used several times below.
     keys, forms = cut(keys), cut(_skill_forms(spark, values))
     exact = sql(spark, "SELECT f.value, k.ref_id, 0 AS tier, f.rank AS distance, 0 AS odd FROM {forms} f JOIN {keys} k ON f.form = k.key WHERE f.rank < 5", forms=forms, keys=keys)

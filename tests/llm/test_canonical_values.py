@@ -53,11 +53,13 @@ def test_pigeonhole_join_misses_nothing(spark):
             s = r.choice([s[:k] + r.choice("abcd") + s[k:], s[:k] + s[k + 1 :], s[:k] + r.choice("abcd") + s[k + 1 :]])
         return s
 
-    forms = sorted({mutate(r.choice(keys)) for _ in range(200)})
+    long = "".join(r.choice("abcd") for _ in range(90))
+    keys += [long, "abcde"]
+    forms = sorted({mutate(r.choice(keys)) for _ in range(200)} | {long[:40] + "x" + long[41:], "abc", "x" * 100_000})
     got = {(x.form, x.key): x.distance for x in pigeonhole_pairs(spark, spark.createDataFrame([(f,) for f in forms], "form string"), spark.createDataFrame([(k, True) for k in keys], "key string, fuzzy boolean")).collect()}
     k = lambda s: 0 if len(s) < 5 else 2 if len(s) < 10 else 4
-    want = {(f, s): distance(f, s) for f in forms for s in keys if len(f) >= 4 and k(s) and distance(f, s) <= k(s)}
-    assert got == want
+    want = {(f, s): distance(f, s) for f in forms for s in keys if abs(len(f) - len(s)) <= k(s) and len(f) >= 3 and k(s) and distance(f, s) <= k(s)}
+    assert got == want and {f for f, _ in got} >= {"abc", long[:40] + "x" + long[41:]}
 
 
 def test_table(spark, refs):
