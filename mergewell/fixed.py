@@ -15,107 +15,153 @@ FIELD_WEIGHTS = {
     "skills": "1.2", "experience": "1.2", "education": "1.0", "links": "0.8",
 }
 
-# Skill -> its spellings in lower case. Of spellings listed twice the later skill counts.
-SKILLS = """
-Python: python, python3, py, python 3
-JavaScript: javascript, js, java script, ecmascript, es6
-TypeScript: typescript, ts
-Java: java, java8, java 8, java 11, java 17
-Go: go, golang
-Rust: rust, rust-lang
-C++: c++, cpp, c plus plus
-C#: c#, csharp, c sharp, .net c#
-Ruby: ruby, ruby on rails, ror
-Scala: scala
-Kotlin: kotlin
-Swift: swift
-PHP: php
-R: r, r-lang, r language
-SQL: sql, mysql, structured query language
-React: react, reactjs, react.js
-Angular: angular, angularjs, angular.js
-Vue.js: vue, vuejs, vue.js
-Django: django
-Flask: flask
-FastAPI: fastapi, fast api
-Spring Boot: spring boot, springboot, spring
-Node.js: node, nodejs, node.js
-Express.js: express, expressjs, express.js
-Next.js: next, nextjs, next.js
-Apache Spark: spark, apache spark, pyspark
-Apache Kafka: kafka, apache kafka
-Apache Airflow: airflow, apache airflow
-dbt: dbt, data build tool
-TensorFlow: tensorflow, tf
-PyTorch: pytorch, torch
-Scikit-learn: scikit-learn, sklearn, scikit learn
-Pandas: pandas
-NumPy: numpy
-Matplotlib: matplotlib
-Seaborn: seaborn
-XGBoost: xgboost, xgb
-LightGBM: lightgbm, lgbm
-Hugging Face: hugging face, huggingface, transformers
-PostgreSQL: postgresql, postgres, pg
-MySQL: mysql
-MongoDB: mongodb, mongo
-Redis: redis
-Elasticsearch: elasticsearch, elastic search, es
-Cassandra: cassandra, apache cassandra
-BigQuery: bigquery, big query, google bigquery
-Snowflake: snowflake
-Redshift: redshift, amazon redshift, aws redshift
-AWS: aws, amazon web services, amazon aws
-GCP: gcp, google cloud, google cloud platform
-Azure: azure, microsoft azure
-Docker: docker
-Kubernetes: kubernetes, k8s
-Terraform: terraform
-Ansible: ansible
-CI/CD: ci/cd, cicd, ci cd, continuous integration
-GitHub Actions: github actions, gh actions
-Jenkins: jenkins
-REST APIs: rest, rest api, restful, restful api, rest apis
-GraphQL: graphql
-Microservices: microservices, micro services, micro-services
-Agile: agile, scrum, kanban
-TDD: tdd, test driven development, test-driven development
-Machine Learning: machine learning, ml
-Deep Learning: deep learning, dl
-Data Engineering: data engineering, data pipelines
-ETL: etl, elt, extract transform load
-System Design: system design, distributed systems
-"""
+# Spelling in lower case -> skill.
+SKILLS = {
+    "python": "Python", "python3": "Python", "py": "Python", "python 3": "Python",
+    "javascript": "JavaScript", "js": "JavaScript", "java script": "JavaScript", "ecmascript": "JavaScript", "es6": "JavaScript",
+    "typescript": "TypeScript", "ts": "TypeScript",
+    "java": "Java", "java8": "Java", "java 8": "Java", "java 11": "Java", "java 17": "Java",
+    "go": "Go", "golang": "Go",
+    "rust": "Rust", "rust-lang": "Rust",
+    "c++": "C++", "cpp": "C++", "c plus plus": "C++",
+    "c#": "C#", "csharp": "C#", "c sharp": "C#", ".net c#": "C#",
+    "ruby": "Ruby", "ruby on rails": "Ruby", "ror": "Ruby",
+    "scala": "Scala",
+    "kotlin": "Kotlin",
+    "swift": "Swift",
+    "php": "PHP",
+    "r": "R", "r-lang": "R", "r language": "R",
+    "sql": "SQL",
+    "mysql": "MySQL",
+    "structured query language": "SQL",
+    "react": "React", "reactjs": "React", "react.js": "React",
+    "angular": "Angular", "angularjs": "Angular", "angular.js": "Angular",
+    "vue.js": "Vue.js", "vue": "Vue.js", "vuejs": "Vue.js",
+    "django": "Django",
+    "flask": "Flask",
+    "fastapi": "FastAPI", "fast api": "FastAPI",
+    "spring boot": "Spring Boot", "springboot": "Spring Boot", "spring": "Spring Boot",
+    "node.js": "Node.js", "node": "Node.js", "nodejs": "Node.js",
+    "express.js": "Express.js", "express": "Express.js", "expressjs": "Express.js",
+    "next.js": "Next.js", "next": "Next.js", "nextjs": "Next.js",
+    "apache spark": "Apache Spark", "spark": "Apache Spark", "pyspark": "Apache Spark",
+    "apache kafka": "Apache Kafka", "kafka": "Apache Kafka",
+    "apache airflow": "Apache Airflow", "airflow": "Apache Airflow",
+    "dbt": "dbt", "data build tool": "dbt",
+    "tensorflow": "TensorFlow", "tf": "TensorFlow",
+    "pytorch": "PyTorch", "torch": "PyTorch",
+    "scikit-learn": "Scikit-learn", "sklearn": "Scikit-learn", "scikit learn": "Scikit-learn",
+    "pandas": "Pandas",
+    "numpy": "NumPy",
+    "matplotlib": "Matplotlib",
+    "seaborn": "Seaborn",
+    "xgboost": "XGBoost", "xgb": "XGBoost",
+    "lightgbm": "LightGBM", "lgbm": "LightGBM",
+    "hugging face": "Hugging Face", "huggingface": "Hugging Face", "transformers": "Hugging Face",
+    "postgresql": "PostgreSQL", "postgres": "PostgreSQL", "pg": "PostgreSQL",
+    "mongodb": "MongoDB", "mongo": "MongoDB",
+    "redis": "Redis",
+    "elasticsearch": "Elasticsearch", "elastic search": "Elasticsearch", "es": "Elasticsearch",
+    "cassandra": "Cassandra", "apache cassandra": "Cassandra",
+    "bigquery": "BigQuery", "big query": "BigQuery", "google bigquery": "BigQuery",
+    "snowflake": "Snowflake",
+    "redshift": "Redshift", "amazon redshift": "Redshift", "aws redshift": "Redshift",
+    "aws": "AWS", "amazon web services": "AWS", "amazon aws": "AWS",
+    "gcp": "GCP", "google cloud": "GCP", "google cloud platform": "GCP",
+    "azure": "Azure", "microsoft azure": "Azure",
+    "docker": "Docker",
+    "kubernetes": "Kubernetes", "k8s": "Kubernetes",
+    "terraform": "Terraform",
+    "ansible": "Ansible",
+    "ci/cd": "CI/CD", "cicd": "CI/CD", "ci cd": "CI/CD", "continuous integration": "CI/CD",
+    "github actions": "GitHub Actions", "gh actions": "GitHub Actions",
+    "jenkins": "Jenkins",
+    "rest apis": "REST APIs", "rest": "REST APIs", "rest api": "REST APIs", "restful": "REST APIs", "restful api": "REST APIs",
+    "graphql": "GraphQL",
+    "microservices": "Microservices", "micro services": "Microservices", "micro-services": "Microservices",
+    "agile": "Agile", "scrum": "Agile", "kanban": "Agile",
+    "tdd": "TDD", "test driven development": "TDD", "test-driven development": "TDD",
+    "machine learning": "Machine Learning", "ml": "Machine Learning",
+    "deep learning": "Deep Learning", "dl": "Deep Learning",
+    "data engineering": "Data Engineering", "data pipelines": "Data Engineering",
+    "etl": "ETL", "elt": "ETL", "extract transform load": "ETL",
+    "system design": "System Design", "distributed systems": "System Design",
+}
 
-# Field -> accepted column headers in lower case.
+# Column header in lower case -> field.
 HEADERS = {
-    "full_name": "full_name, name, candidate_name, candidate name, full name, fullname",
-    "email": "email, email_address, emailaddress, e-mail, emails, email address",
-    "phone": "phone, phone_number, phonenumber, mobile, mobile_number, telephone, contact, phone number, mobile number, cell",
-    "location": "location, city, address, place, current_location, current location, city_country",
-    "linkedin_url": "linkedin_url, linkedin, linkedin_profile, linkedin profile, linkedin url, linkedin_link",
-    "headline": "headline, title, job_title, current_title, current title, jobtitle, position, role, designation",
-    "skills": "skills, skill_set, skillset, skill set, technologies, tech_stack, techstack, core_skills, core skills, key skills, key_skills",
-    "years_experience": "years_experience, years experience, total_experience, total experience, experience, experience_years, exp, years_of_experience, years of experience",
-}
+    "full_name": "full_name", "name": "full_name", "candidate_name": "full_name", "candidate name": "full_name", "full name": "full_name",
+    "fullname": "full_name",
+    "email": "email", "email_address": "email", "emailaddress": "email", "e-mail": "email", "emails": "email", "email address": "email",
+    "phone": "phone", "phone_number": "phone", "phonenumber": "phone", "mobile": "phone", "mobile_number": "phone", "telephone": "phone",
+    "contact": "phone", "phone number": "phone", "mobile number": "phone", "cell": "phone",
+    "location": "location", "city": "location", "address": "location", "place": "location", "current_location": "location",
+    "current location": "location", "city_country": "location",
+    "linkedin_url": "linkedin_url", "linkedin": "linkedin_url", "linkedin_profile": "linkedin_url", "linkedin profile": "linkedin_url",
+    "linkedin url": "linkedin_url", "linkedin_link": "linkedin_url",
+    "headline": "headline", "title": "headline", "job_title": "headline", "current_title": "headline", "current title": "headline",
+    "jobtitle": "headline", "position": "headline", "role": "headline", "designation": "headline",
+    "skills": "skills", "skill_set": "skills", "skillset": "skills", "skill set": "skills", "technologies": "skills", "tech_stack": "skills",
+    "techstack": "skills", "core_skills": "skills", "core skills": "skills", "key skills": "skills", "key_skills": "skills",
+    "years_experience": "years_experience", "years experience": "years_experience", "total_experience": "years_experience",
+    "total experience": "years_experience", "experience": "years_experience", "experience_years": "years_experience", "exp": "years_experience",
+    "years_of_experience": "years_experience", "years of experience": "years_experience",
+}
 
-# Further country names and cities -> ISO code.
+# Further name of a country -> ISO code.
 COUNTRY_ALIASES = {
-    "US": "usa, u.s.a, u.s.a., united states, united states of america", "GB": "uk, u.k, u.k., great britain", "AE": "uae, u.a.e, u.a.e.",
-    "KR": "south korea", "KP": "north korea", "RU": "russia", "CZ": "czech republic", "TW": "taiwan", "HK": "hong kong", "IR": "iran", "SY": "syria", "VN": "vietnam",
+    "usa": "US", "u.s.a": "US", "u.s.a.": "US", "united states": "US", "united states of america": "US",
+    "uk": "GB", "u.k": "GB", "u.k.": "GB", "great britain": "GB",
+    "uae": "AE", "u.a.e": "AE", "u.a.e.": "AE",
+    "south korea": "KR",
+    "north korea": "KP",
+    "russia": "RU",
+    "czech republic": "CZ",
+    "taiwan": "TW",
+    "hong kong": "HK",
+    "iran": "IR",
+    "syria": "SY",
+    "vietnam": "VN",
 }
+
+# City -> ISO code of its country.
 CITIES = {
-    "IN": "bangalore, bengaluru, mumbai, delhi, hyderabad, chennai, pune, kolkata, new delhi, noida, gurgaon, gurugram",
-    "US": "san francisco, new york, seattle, austin, boston, chicago, los angeles", "GB": "london, manchester, edinburgh",
-    "CA": "toronto, vancouver, montreal", "DE": "berlin, munich, frankfurt", "FR": "paris", "NL": "amsterdam", "SE": "stockholm",
-    "SG": "singapore", "AU": "sydney, melbourne", "AE": "dubai, abu dhabi", "JP": "tokyo, osaka", "CN": "beijing, shanghai",
-    "TH": "bangkok", "ID": "jakarta", "MY": "kuala lumpur",
+    "bangalore": "IN", "bengaluru": "IN", "mumbai": "IN", "delhi": "IN", "hyderabad": "IN", "chennai": "IN", "pune": "IN", "kolkata": "IN",
+    "new delhi": "IN", "noida": "IN", "gurgaon": "IN", "gurugram": "IN",
+    "san francisco": "US", "new york": "US", "seattle": "US", "austin": "US", "boston": "US", "chicago": "US", "los angeles": "US",
+    "london": "GB", "manchester": "GB", "edinburgh": "GB",
+    "toronto": "CA", "vancouver": "CA", "montreal": "CA",
+    "berlin": "DE", "munich": "DE", "frankfurt": "DE",
+    "paris": "FR",
+    "amsterdam": "NL",
+    "stockholm": "SE",
+    "singapore": "SG",
+    "sydney": "AU", "melbourne": "AU",
+    "dubai": "AE", "abu dhabi": "AE",
+    "tokyo": "JP", "osaka": "JP",
+    "beijing": "CN", "shanghai": "CN",
+    "bangkok": "TH",
+    "jakarta": "ID",
+    "kuala lumpur": "MY",
 }
-#: Official English names that differ from the JVM's.
+
+# Official English name that differs from the JVM's -> ISO code.
 OFFICIAL_COUNTRIES = {
-    "KR": "korea, republic of", "KP": "korea, democratic people's republic of", "RU": "russian federation", "CZ": "czechia", "TW": "taiwan, province of china",
-    "IR": "iran, islamic republic of", "SY": "syrian arab republic", "VN": "viet nam", "VE": "venezuela, bolivarian republic of", "TZ": "tanzania, united republic of",
-    "BO": "bolivia, plurinational state of", "MD": "moldova, republic of", "LA": "lao people's democratic republic", "BN": "brunei darussalam", "TR": "türkiye",
+    "korea, republic of": "KR",
+    "korea, democratic people's republic of": "KP",
+    "russian federation": "RU",
+    "czechia": "CZ",
+    "taiwan, province of china": "TW",
+    "iran, islamic republic of": "IR",
+    "syrian arab republic": "SY",
+    "viet nam": "VN",
+    "venezuela, bolivarian republic of": "VE",
+    "tanzania, united republic of": "TZ",
+    "bolivia, plurinational state of": "BO",
+    "moldova, republic of": "MD",
+    "lao people's democratic republic": "LA",
+    "brunei darussalam": "BN",
+    "türkiye": "TR",
 }
 
 # Words of names and dates.
@@ -162,19 +208,3 @@ FIELDS = (
     "candidate_id", "full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education",
     "overall_confidence", "warnings", "pipeline_version", "created_at",
 )
-
-
-def skill_spellings() -> dict[str, str]:
-    """Spelling -> skill; a spelling listed twice keeps its first place and its last skill."""
-    out: dict[str, str] = {}
-    for line in SKILLS.strip().splitlines():
-        name, _, spellings = line.partition(":")
-        for s in (name.lower(), *(x.strip() for x in spellings.split(", "))):
-            if s.strip() != "" and (s != name.lower() or s in (x.strip() for x in spellings.split(", "))):
-                out[s] = name
-    return out
-
-
-def inverted(table: dict[str, str]) -> dict[str, str]:
-    """Each of the comma-separated values -> its key."""
-    return {v.strip(): k for k, values in table.items() for v in values.split(", ")}

@@ -3,7 +3,7 @@
     value, success, factor decimal(4,3), method, original, warning
 
 A null or blank value gives value null, success false, factor 0 and method ``empty_input``. All are narrow and stay
-inside whole-stage code; none raises on any input.
+in the JVM (functions over arrays are interpreted there, outside of generated code); none raises on any input.
 """
 
 from __future__ import annotations
@@ -122,20 +122,31 @@ _NAMED = "(?i)^(?:(?:[0-9]{1,2})(?:st|nd|rd|th)?[ -]+)?" + _MONTH + "[.,]?[ -]+(
 _SHORT_YEAR = "(?i)^" + _MONTH + "[.,]? *['’]([0-9]{2})$"
 _YEAR_FIRST = "^([0-9]{4})[-/.]([0-9]{1,2})(?:[-/.][0-9]{1,2})?(?:[T ][0-9:.Z+]*)?$"
 _YEAR_LAST = "^([0-9]{1,2})[-/.]([0-9]{4})$"
+_YEAR_NAMED = "(?i)^([0-9]{4})[ ,./-]+" + _MONTH + "[.,]?(?:[ ,.-]+[0-9]{1,2}(?:st|nd|rd|th)?)?$"
+_COMPACT = "^([0-9]{4})(0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])$"
+_TIME = r"(?i)[ ,T]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?: ?[ap]m)?(?: ?(?:z|utc|gmt|[+-][0-9]{2}:?[0-9]{2}))?$"
 _THREE = "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})$"
 
 
 def year_month(t: Column) -> Column:
-    """``YYYY-MM`` of a date that names a month, else null. Of two numbers before a year the first that can be is the month."""
+    """``YYYY-MM`` of a date that names a month, with a time behind it or not, else null. Of two numbers before a year the first that
+    can be is the month."""
+    return bind(F.regexp_replace(t, _TIME, ""), _dated)
+
+
+def _dated(t: Column) -> Column:
     named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(t, _NAMED, 1), 1, 3))).cast("int")
     short = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(t, _SHORT_YEAR, 1), 1, 3))).cast("int")
     number = lambda p, k: F.regexp_extract(t, p, k).try_cast("int")
+    after = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(t, _YEAR_NAMED, 2), 1, 3))).cast("int")
     two = number(_SHORT_YEAR, 2)
     out = lambda y, m: F.when(m.between(1, 12), F.format_string("%04d-%02d", y, m))
     a, b = number(_THREE, 1), number(_THREE, 2)
     return F.coalesce(
         F.when(t.rlike(_YEAR_FIRST), out(number(_YEAR_FIRST, 1), number(_YEAR_FIRST, 2))),
         F.when(t.rlike(_NAMED), out(number(_NAMED, 2), named)),
+        F.when(t.rlike(_YEAR_NAMED), out(number(_YEAR_NAMED, 1), after)),
+        F.when(t.rlike(_COMPACT), out(number(_COMPACT, 1), number(_COMPACT, 2))),
         F.when(t.rlike(_YEAR_LAST), out(number(_YEAR_LAST, 2), number(_YEAR_LAST, 1))),
         F.when(t.rlike(_SHORT_YEAR), out(two + F.when(two >= 70, 1900).otherwise(2000), short)),
         F.when(t.rlike(_THREE) & a.between(1, 31) & b.between(1, 31), out(number(_THREE, 3), F.when(a <= 12, a).otherwise(b))),
@@ -205,7 +216,8 @@ def city_of(location: Column) -> Column:
 
 
 def literal_map(table: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in sorted(table.items()) for x in kv))
+    """A constant map, given as one text: the optimizer makes a literal of it, and until then it is one expression and not two per entry."""
+    return F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in sorted(table.items()))), F.lit("\u0001"), F.lit("\u0002"))
 
 
 def country_table(spark) -> dict[str, dict[str, str]]:
@@ -215,7 +227,7 @@ def country_table(spark) -> dict[str, dict[str, str]]:
     for code in locale.getISOCountries():
         at = locale("", code)
         two[code], three[at.getISO3Country()], names[at.getDisplayCountry(locale.ENGLISH).lower()] = code, code, code
-    return {"two": two, "three": three, "names": names | {v: k for k, v in fixed.OFFICIAL_COUNTRIES.items()}}
+    return {"two": two, "three": three, "names": names | fixed.OFFICIAL_COUNTRIES}
 
 
 def normalize_country(raw: Column, table: dict[str, dict[str, str]], near: Column | None = None) -> Column:
@@ -224,7 +236,7 @@ def normalize_country(raw: Column, table: dict[str, dict[str, str]], near: Colum
     near: struct <name, score> of the nearest name by functions.fuzzy, or null; without it the fuzzy step is left out.
     """
     two, three, names = (literal_map(table[k]) for k in ("two", "three", "names"))
-    aliases, cities = literal_map(fixed.inverted(fixed.COUNTRY_ALIASES)), literal_map(fixed.inverted(fixed.CITIES))
+    aliases, cities = literal_map(fixed.COUNTRY_ALIASES), literal_map(fixed.CITIES)
 
     def use(t: Column) -> Column:
         low, up = F.lower(t), F.upper(t)
@@ -266,7 +278,7 @@ def normalize_skill(raw: Column, near: Column | None = None, threshold: float =
 
     near: struct <name (the nearest spelling), score> by functions.fuzzy, or null.
     """
-    table = literal_map(fixed.skill_spellings())
+    table = literal_map(fixed.SKILLS)
 
     def use(t: Column) -> Column:
         title = python_title(t)

@@ -106,7 +106,7 @@ def normalize_records(raw: DataFrame, settings: Settings = Settings(), fuzzy: bo
     skills = F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
     df = df.withColumn("skills", skills)
     if fuzzy:
-        spellings = tuple(fixed.skill_spellings())
+        spellings = tuple(fixed.SKILLS)
         df = df.withColumn("_near", near_each(F.transform("skills", low), spellings, settings.skill_fuzzy_threshold))
         names = tuple(sorted(table["names"]))
         settled = N.normalize_country(F.col("location"), table)["success"]
@@ -318,8 +318,8 @@ def decision_log(merged: DataFrame) -> DataFrame:
     )
 
 
-def explanation(merged: DataFrame) -> DataFrame:
-    """(entity_id, field, chosen_value as JSON, confidence, reason, had_conflict, source, method, notes, alternatives) of the seven explained fields."""
+def explained(merged: DataFrame) -> Column:
+    """The entries of the explained fields of a profile, as an array."""
 
     def entry(field: str) -> Column:
         d = F.col(f"d_{field}")
@@ -337,4 +337,9 @@ def explanation(merged: DataFrame) -> DataFrame:
             F.when(clash, others).cast("array<struct<source:string,value:string,factor:decimal(4,3)>>").alias("alternatives"),
         )
 
-    return merged.select("entity_id", F.inline(F.array(*(entry(f) for f in SCORED))))
+    return F.array(*(entry(f) for f in SCORED))
+
+
+def explanation(merged: DataFrame) -> DataFrame:
+    """(entity_id, field, chosen_value as JSON, confidence, reason, had_conflict, source, method, notes, alternatives) of the seven explained fields."""
+    return merged.select("entity_id", F.inline(explained(merged)))

@@ -27,7 +27,7 @@ class FieldConfig:
 @dataclass(frozen=True)
 class ProjectionConfig:
     fields: dict[str, FieldConfig] = field(default_factory=dict)
-    include_confidence: bool = False
+    include_confidence: bool = True
     include_provenance: bool = False
     missing_value_policy: str = "null"
 
@@ -122,8 +122,8 @@ def provenance_block(merged: DataFrame, config: ProjectionConfig) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def project_json(merged: DataFrame, config: ProjectionConfig = ProjectionConfig()) -> DataFrame:
-    """(entity_id, candidate): each profile as one JSON object; ``omit`` leaves missing top-level keys out, nested nulls stay."""
+def as_json(merged: DataFrame, config: ProjectionConfig = ProjectionConfig()) -> Column:
+    """Each profile as one JSON object; ``omit`` leaves missing top-level keys out, nested nulls stay."""
     kinds = dict(merged.dtypes)
     parts = []
     for name in fixed.FIELDS:
@@ -140,4 +140,9 @@ def project_json(merged: DataFrame, config: ProjectionConfig = ProjectionConfig(
         parts.append(F.concat(F.lit('"_confidence":'), confidence_block(merged, config)))
     if config.include_provenance:
         parts.append(F.concat(F.lit('"_provenance":'), provenance_block(merged, config)))
-    return merged.select("entity_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("candidate"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def project_json(merged: DataFrame, config: ProjectionConfig = ProjectionConfig()) -> DataFrame:
+    """(entity_id, candidate): each profile as one JSON object."""
+    return merged.select("entity_id", as_json(merged, config).alias("candidate"))

@@ -109,12 +109,12 @@ def validate_json(rows: DataFrame, json_col: str = "candidate") -> DataFrame:
     return df.withColumns(_summary(F.col("findings")))
 
 
-def metrics(merged: DataFrame, seconds: float | None = None) -> DataFrame:
-    """One row per entity with the figures of its merge."""
-    v = validate(merged)
+def metrics(merged: DataFrame, seconds: float | None = None, *more: str) -> DataFrame:
+    """One row per entity with the figures of its merge, and ``more`` columns of merged; findings that merged bears already (of its projection) count instead of its own."""
+    v = merged if "findings" in merged.columns else validate(merged)
     clashes = sum((F.coalesce(F.col(f"d_{f}")["had_conflict"], F.lit(False)).cast("int") for f in ("full_name", "headline", "years_experience", "location")), F.lit(0))
     return v.select(
         "entity_id", F.size("sources_used").alias("records_processed"), F.array_distinct("sources_used").alias("sources_used"), clashes.alias("conflicts_resolved"), "duplicates_removed",
         F.col("error_count").alias("invalid_fields"), F.size("skills").alias("normalized_skills"), "warnings", F.size("warnings").alias("warnings_total"), F.lit(seconds).cast("double").alias("execution_time_seconds"),
-        "overall_confidence", "pipeline_version", F.col("created_at").alias("timestamp"), F.lit(7).alias("output_fields"), F.col("summary").alias("validation_summary"),
+        "overall_confidence", "pipeline_version", F.col("created_at").alias("timestamp"), F.lit(7).alias("output_fields"), F.col("summary").alias("validation_summary"), *more,
     ).withColumnRenamed("warnings_total", "warning_count")

@@ -12,8 +12,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mergewell.operators import merge as M
-from mergewell.operators.projection import ProjectionConfig, json_value, project_json
-from mergewell.operators.validation import metrics, validate
+from mergewell.operators.projection import ProjectionConfig, as_json, json_value
+from mergewell.operators.validation import metrics, validate_json
 from mergewell.report import render_each
 from mergewell.runtime import cut
 from mergewell.settings import Settings
@@ -49,16 +49,21 @@ class PipelineOutput:
 
 def merge_all(raw: DataFrame, settings: Settings = Settings(), config: ProjectionConfig = ProjectionConfig(), seconds: float | None = None, once: bool = False) -> PipelineOutput:
     """The stages over any number of entities, lazy but for the merge if ``once``: then it is written to the checkpoint
-    folder first, so that all results share its random ids and none computes it again."""
+    folder first, so that all results share its random ids and none computes it again. What is validated is the projected object.
+    The report is made of one row per entity, without a join."""
     merged = M.merge(raw, settings)
     merged = cut(merged) if once else merged
-    explained = M.explanation(merged)
-    figures = metrics(merged, seconds)
-    profile = merged.select("entity_id", json_value(F.struct(*(F.col(c).cast("double").alias(c) if c == "overall_confidence" else F.col(c) for c in ("full_name", "headline", "overall_confidence", "emails", "phones", "location", "links", "skills", "experience", "education", "warnings")))).alias("profile"))
-    per_entity = explained.groupBy("entity_id").agg(F.to_json(F.collect_list(F.struct("field", "chosen_value", F.col("confidence").cast("double").alias("confidence"), "reason"))).alias("explained"))
-    numbers = figures.select("entity_id", F.to_json(F.struct(*(c for c in figures.columns if c != "entity_id"))).alias("figures"))
-    report = render_each(profile.join(per_entity, "entity_id").join(numbers, "entity_id"))
-    return PipelineOutput(merged, project_json(merged, config), explained, figures, M.decision_log(merged), report)
+    checked = validate_json(merged.withColumn("candidate", as_json(merged, config)))
+    figures = metrics(checked, seconds)
+    shown = ("full_name", "headline", "overall_confidence", "emails", "phones", "location", "links", "skills", "experience", "education", "warnings")
+    profile = json_value(F.struct(*(F.col(c).cast("double").alias(c) if c == "overall_confidence" else F.col(c) for c in shown)))
+    entries = F.to_json(F.transform("_entries", lambda x: F.struct(x["field"].alias("field"), x["chosen_value"].alias("chosen_value"), x["confidence"].cast("double").alias("confidence"), x["reason"].alias("reason"))))
+    texts = checked.withColumns({"profile": profile, "_entries": M.explained(checked)})
+    numbers = F.to_json(F.struct(*(c for c in figures.columns if c != "entity_id")))
+    kept = metrics(texts, seconds, "profile", "_entries")
+    report = render_each(kept.select("entity_id", "profile", entries.alias("explained"), numbers.alias("figures")))
+    candidate = checked.select("entity_id", "candidate", "is_valid", "summary")
+    return PipelineOutput(merged, candidate, M.explanation(merged), figures, M.decision_log(merged), report)
 
 
 def write_tables(out: PipelineOutput, output_dir: str) -> dict[str, str]:
@@ -141,14 +146,14 @@ class Pipeline:
         out = merge_all(raw, self.settings, config, once=True)
         tell("Projecting", 65)
         try:
-            candidate = [r["candidate"] for r in out.candidate.collect()]
+            found = out.candidate.collect()
         except Exception as e:
             if "missing_value_policy" in str(e):
                 raise ValueError(str(e).split("\n")[0]) from e
             raise
+        candidate = [r["candidate"] for r in found]
         tell("Validating", 75)
-        checks = validate(out.merged).select("is_valid", "summary").collect()
-        out.is_valid = bool(checks) and all(r["is_valid"] for r in checks)
+        out.is_valid = bool(found) and all(r["is_valid"] for r in found)
         out.warnings = warnings
         if inp.output_dir:
             tell("Writing", 85)

@@ -17,7 +17,7 @@ from mergewell.sources import recruiter_csv as C, resume as R
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 NOW = "2026-07-01T00:00:00"
-ALL_RECORDS = Settings(now=NOW, records_per_source=None)
+ALL_RECORDS = Settings(now=NOW)
 
 
 def query(oracle: str | None = None):
@@ -45,8 +45,9 @@ def _dim(c: Column, place: int, kind: str) -> Column:
 
 def _first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type: a record of a source."""
-    first = read(spark, sf_dir, "events").filter(F.col("event_type").isin(*_KINDS)).groupBy("user_id", F.col("event_type").alias("source")).agg(F.min(F.struct("ts", "event_id", "props", "value")).alias("e"))
-    return first.select("user_id", "source", "e.ts", "e.event_id", F.get_json_object("e.props", "$.k").alias("k"), "e.value", _dim(F.col("source"), 0, "int").alias("priority"), _dim(F.col("source"), 1, "decimal(3,2)").alias("reliability"))
+    e = read(spark, sf_dir, "events").filter(F.col("event_type").isin(*_KINDS))
+    raw = e.withColumns({"entity_id": F.col("user_id").cast("string"), "source": F.col("event_type"), "rec_seq": F.expr("unix_micros(CAST(ts AS TIMESTAMP))"), "source_file": F.lpad(F.col("event_id").cast("string"), 20, "0")})
+    return M.first_records(raw, 1).select("user_id", "source", "ts", "event_id", F.get_json_object("props", "$.k").alias("k"), "value", _dim(F.col("source"), 0, "int").alias("priority"), _dim(F.col("source"), 1, "decimal(3,2)").alias("reliability"))
 
 
 @query(f"SELECT user_id, source, ts, event_id, k FROM ({_FIRST})")
@@ -106,21 +107,14 @@ def decision_log(spark, sf_dir):
   ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, field ORDER BY priority, source, event_id) AS r FROM long WHERE v IS NOT NULL),
   decided AS (SELECT w.user_id, w.field, w.reliability, count(*) FILTER (WHERE o.v = w.v) AS agreed FROM ranked w JOIN ranked o ON w.user_id = o.user_id AND w.field = o.field AND w.r = 1 GROUP BY ALL),
   scored AS (SELECT user_id, field, {_SCORE} AS score, CAST(CASE field WHEN 'full_name' THEN 1.5 WHEN 'headline' THEN 0.8 ELSE 1.2 END AS DECIMAL(3,1)) AS w FROM decided)
-SELECT user_id, CAST(round(CAST(sum(score * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE), 3) AS DECIMAL(6,3)) AS overall FROM scored WHERE score > 0 GROUP BY user_id""")
+SELECT user_id, ((2 * CAST(sum(score * w) * 100000 AS BIGINT) + CAST(sum(w) * 10 AS BIGINT)) // (2 * CAST(sum(w) * 10 AS BIGINT))) / 10000.0 AS overall FROM scored WHERE score > 0 GROUP BY user_id""")
 def overall_confidence(spark, sf_dir):
     e = _first_events(spark, sf_dir)
     values = {"full_name": F.col("k"), "headline": (F.floor("value") % 5).cast("string"), "skills": (F.col("event_id") % 3).cast("string")}
     long = e.select("user_id", "source", "priority", "reliability", "event_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), v.alias("v")) for f, v in values.items()))))
     d = L.resolve(long, ["user_id", "field"], F.col("v"), F.col("v"), [F.col("priority"), F.col("source"), F.col("event_id")], {"reliability": F.col("reliability")})
     scored = d.select("user_id", "field", L.score(F.col("reliability"), F.lit("0.900").cast("decimal(4,3)"), F.col("agreed")).alias("score"))
-    # Compared to three places: the fourth depends on how each engine divides decimals.
-    out = L.overall(scored, ["user_id"])
-    exact = scored.groupBy("user_id").agg((F.sum(F.col("score") * _weight()).cast("double") / F.sum(_weight()).cast("double")).alias("x"))
-    return out.join(exact, "user_id").select("user_id", F.round("x", 3).cast("decimal(6,3)").alias("overall"))
-
-
-def _weight() -> Column:
-    return F.when(F.col("field") == "full_name", "1.5").when(F.col("field") == "headline", "0.8").otherwise("1.2").cast("decimal(3,1)")
+    return L.overall(scored, ["user_id"]).select("user_id", F.col("overall").cast("double").alias("overall"))
 
 
 @query("""WITH u AS (
@@ -138,16 +132,24 @@ def duplicates_removed(spark, sf_dir):
     return list_union_dedup(spark, sf_dir).groupBy("user_id").agg(F.sum("repeats").alias("duplicates_removed"))
 
 
-@query("""WITH c AS (
-  SELECT n_nationkey AS entity, 1 AS priority, c_mktsegment AS country, c_name AS city, c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey
-  UNION ALL SELECT n_nationkey, 2, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END, s_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-w AS (SELECT entity, arg_min(country, struct_pack(a := priority, b := id)) AS country FROM c GROUP BY entity)
-SELECT w.entity, w.country, arg_max(c.city, struct_pack(a := c.priority, b := c.id)) AS city FROM w JOIN c ON c.entity = w.entity AND c.country = w.country GROUP BY w.entity, w.country""")
+# Places for the segments of customers, and the codes of their countries.
+_COUNTRIES = {"BUILDING": ("India", "IN"), "MACHINERY": ("Germany", "DE"), "AUTOMOBILE": ("United States", "US"), "FURNITURE": ("France", "FR"), "HOUSEHOLD": ("nowhere", None)}
+_CODE = "CASE segment " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, (_, c) in _COUNTRIES.items() if c) + " END"
+_COUNTRY = "CASE segment " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, (n, _) in _COUNTRIES.items()) + " END"
+
+
+@query(f"""WITH s AS (
+  SELECT c_nationkey AS entity, 1 AS priority, c_mktsegment AS segment, c_name AS city, c_custkey AS id FROM customer
+  UNION ALL SELECT s_nationkey, 2, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END, s_name, s_suppkey FROM supplier),
+c AS (SELECT *, {_CODE} AS code, city || ', ' || {_COUNTRY} AS raw FROM s),
+w AS (SELECT entity, arg_min(code, struct_pack(a := priority, b := id)) FILTER (WHERE code IS NOT NULL) AS code, arg_min(raw, struct_pack(a := priority, b := id)) AS raw FROM c GROUP BY entity)
+SELECT CAST(w.entity AS VARCHAR) AS entity, w.code AS country, arg_max(c.city, struct_pack(a := c.priority, b := c.id)) AS city, any_value(w.raw) AS raw FROM w JOIN c ON c.entity = w.entity AND c.code = w.code GROUP BY w.entity, w.code""")
 def location_merge(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("entity"), F.lit(1).alias("priority"), F.col("c_mktsegment").alias("country"), F.col("c_name").alias("city"), F.col("c_custkey").alias("id"))
-    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("entity"), F.lit(2).alias("priority"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("country"), F.col("s_name").alias("city"), F.col("s_suppkey").alias("id"))
-    by = c.unionByName(s).groupBy("entity", "country").agg(F.min(F.struct("priority", "id")).alias("first"), F.max_by("city", F.struct("priority", "id")).alias("city"))
-    return by.groupBy("entity").agg(F.min_by(F.struct("country", "city"), "first").alias("w")).select("entity", "w.country", "w.city")
+    country = F.try_element_at(F.create_map(*(F.lit(x) for k, (n, _) in _COUNTRIES.items() for x in (k, n))), F.col("segment"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("entity"), F.lit("recruiter_csv").alias("source"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("city"), F.col("c_custkey").alias("id"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("entity"), F.lit("resume_pdf").alias("source"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("segment"), F.col("s_name").alias("city"), F.col("s_suppkey").alias("id"))
+    raw = c.unionByName(s).select(F.col("entity").cast("string").alias("entity_id"), F.col("id").alias("rec_seq"), "source", F.concat("city", F.lit(", "), country).alias("location"))
+    return M.merge(raw, ALL_RECORDS, fuzzy=False).filter("location is not null").select(F.col("entity_id").alias("entity"), F.col("location.country_code").alias("country"), "location.city", "location.raw")
 
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(13)"
@@ -199,13 +201,31 @@ def normalize_email(spark, sf_dir):
     return _spread(read(spark, sf_dir, "recruiter"), ["row_id"], N.normalize_email(F.col("email")))
 
 
-@query("SELECT raw_id, CAST(len(list_distinct(list_transform(emails, lambda x: lower(x)))) AS INT) AS n, coalesce(emails[1], '') AS first FROM raw_candidate")
+@query("""WITH e AS (SELECT raw_id, emails, generate_subscripts(emails, 1) AS i, unnest(emails) AS e FROM raw_candidate), f AS (SELECT raw_id, i, e, row_number() OVER (PARTITION BY raw_id, lower(e) ORDER BY i) AS n FROM e),
+g AS (SELECT raw_id, string_agg(e, chr(1) ORDER BY i) AS emails, count(*) AS n FROM f WHERE n = 1 GROUP BY raw_id)
+SELECT r.raw_id, CASE WHEN r.emails IS NOT NULL THEN coalesce(g.emails, '') END AS emails, CAST(coalesce(g.n, 0) AS INT) AS n FROM raw_candidate r LEFT JOIN g ON r.raw_id = g.raw_id""")
 def dedup_emails(spark, sf_dir):
     d = N.distinct_emails(F.col("emails"))
-    return read(spark, sf_dir, "raw_candidate").select("raw_id", F.size(d).alias("n"), F.coalesce(F.get(d, F.lit(0)), F.lit("")).alias("first"))
+    return read(spark, sf_dir, "raw_candidate").select("raw_id", F.array_join(d, "\u0001").alias("emails"), F.coalesce(F.size(d), F.lit(0)).alias("n"))
 
 
-@query()
+_EDGE = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _upper_first(x: str) -> str:
+    return f"upper(({x})[1:1]) || lower(({x})[2:])"
+
+
+@query(
+    rf"""WITH t AS (SELECT row_id, regexp_replace(regexp_replace(full_name, '^{_EDGE}', ''), '{_EDGE}$', '') AS t FROM recruiter),
+p AS (SELECT *, regexp_extract_all(t, '[^\s\x{{000B}}\-]+') AS w, regexp_extract_all(t, '[\s\x{{000B}}\-]+') AS g, regexp_matches(t, '^[\s\x{{000B}}\-]') AS gap FROM t),
+c AS (SELECT *, list_transform(w, lambda x, i: CASE WHEN list_contains([{', '.join(f"'{x}'" for x in fixed.PARTICLES)}], lower(x)) AND i < len(w) THEN lower(x)
+  WHEN regexp_matches(lower(x), '^o''[a-z]') THEN 'O''' || {_upper_first('x[3:]')} WHEN regexp_matches(lower(x), '^mc[a-z]') THEN 'Mc' || {_upper_first('x[3:]')}
+  WHEN regexp_matches(lower(x), '^mac[a-z]') THEN 'Mac' || {_upper_first('x[4:]')} ELSE {_upper_first('x')} END) AS cw FROM p),
+n AS (SELECT row_id, t, array_to_string(list_transform(generate_series(1, greatest(len(w), len(g))), lambda i: CASE WHEN gap THEN coalesce(g[i], '') || coalesce(cw[i], '') ELSE coalesce(cw[i], '') || coalesce(g[i], '') END), '') AS name FROM c)
+SELECT row_id, CASE WHEN t <> '' THEN name END AS value, coalesce(t, '') <> '' AS success, CAST(CASE WHEN coalesce(t, '') = '' THEN 0 WHEN name <> t THEN 0.9 ELSE 1 END AS DOUBLE) AS factor,
+  CASE WHEN coalesce(t, '') = '' THEN 'empty_input' WHEN name <> t THEN 'normalized_case' ELSE 'already_proper_case' END AS method FROM n"""
+)
 def normalize_name(spark, sf_dir):
     return _spread(read(spark, sf_dir, "recruiter"), ["row_id"], N.normalize_name(F.col("full_name")))
 
@@ -277,7 +297,7 @@ def city_extract(spark, sf_dir):
     return read(spark, sf_dir, "recruiter").select("row_id", N.city_of(F.col("location")).alias("city"))
 
 
-@query("SELECT raw_id, s AS original, CASE lower(trim(s)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(fixed.skill_spellings().items())) + " END AS name FROM (SELECT raw_id, unnest(skills) AS s FROM raw_candidate) WHERE trim(s) <> ''")
+@query("SELECT raw_id, s AS original, CASE lower(trim(s)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(fixed.SKILLS.items())) + " END AS name FROM (SELECT raw_id, unnest(skills) AS s FROM raw_candidate) WHERE trim(s) <> ''")
 def skill_exact(spark, sf_dir):
     s = read(spark, sf_dir, "raw_candidate").select("raw_id", F.explode("skills").alias("original")).filter("trim(original) <> ''")
     n = N.normalize_skill(F.col("original"))
@@ -290,7 +310,7 @@ def skill_fuzzy(spark, sf_dir):
     from mergewell.functions.fuzzy import near_each
 
     s = read(spark, sf_dir, "raw_candidate").select(F.explode("skills").alias("original")).distinct()
-    near = s.withColumn("near", F.get(near_each(F.array(F.lower(N.strip(F.col("original")))), tuple(fixed.skill_spellings()), 82.0), F.lit(0)))
+    near = s.withColumn("near", F.get(near_each(F.array(F.lower(N.strip(F.col("original")))), tuple(fixed.SKILLS), 82.0), F.lit(0)))
     return _spread(near, ["original"], N.normalize_skill(F.col("original"), F.col("near")))
 
 
@@ -327,10 +347,9 @@ def candidate_uuid5(spark, sf_dir):
 _WHOLE_EMAIL = rf"(?:^|[^\pL\pN_])({fixed.EMAIL})"
 
 
-@query(rf"SELECT raw_id, list_aggregate(list_distinct(regexp_extract_all(raw_text, '{_WHOLE_EMAIL}', 1)), 'count') AS n FROM raw_candidate WHERE raw_text IS NOT NULL")
+@query(rf"SELECT DISTINCT raw_id, unnest(regexp_extract_all(raw_text, '{_WHOLE_EMAIL}', 1)) AS email FROM raw_candidate WHERE raw_text IS NOT NULL")
 def extract_emails(spark, sf_dir):
-    e = R.find_emails(F.col("raw_text"))
-    return read(spark, sf_dir, "raw_candidate").filter("raw_text is not null").select("raw_id", F.size(e).cast("long").alias("n"))
+    return read(spark, sf_dir, "raw_candidate").select("raw_id", F.explode(R.find_emails(F.col("raw_text"))).alias("email"))
 
 
 @query(rf"""WITH p AS (SELECT raw_id, unnest(regexp_extract_all(raw_text, '{fixed.PHONE}')) AS p FROM raw_candidate WHERE raw_text IS NOT NULL)
@@ -339,24 +358,44 @@ def extract_phones(spark, sf_dir):
     return read(spark, sf_dir, "raw_candidate").select("raw_id", F.explode(R.find_phones(F.col("raw_text"))).alias("phone"))
 
 
-@query(r"""WITH u AS (SELECT doc_id, unnest(regexp_extract_all('see ' || url || ' or www.github.com/' || source, '(?i)https?://[^\s<>"{}|\\^\[\]`]+|www\.github\.com/[\w\-]+')) AS link FROM documents WHERE url IS NOT NULL AND source IS NOT NULL) SELECT DISTINCT doc_id, link FROM u""")
+_WORD = r"[\pL\pN_\-]+"
+_URL_SQL = fixed.URL.replace(r"[^\s<", r"[^\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}<")
+
+
+@query(rf"""WITH t AS (SELECT 'd' || doc_id AS id, concat_ws(' ', text, url) AS t FROM documents UNION ALL SELECT 'r' || raw_id, concat_ws(' ', raw_text, array_to_string(links, ' ')) FROM raw_candidate),
+u AS (
+  SELECT id, unnest(regexp_extract_all(t, '(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/{_WORD}')) AS link FROM t
+  UNION ALL SELECT id, unnest(regexp_extract_all(t, '(?i)(?:https?://)?(?:www\.)?github\.com/{_WORD}')) FROM t
+  UNION ALL SELECT id, unnest(list_filter(regexp_extract_all(t, '(?i){_URL_SQL}'), lambda x: NOT contains(lower(x), 'linkedin') AND NOT contains(lower(x), 'github'))) FROM t)
+SELECT DISTINCT id, link FROM u""")
 def extract_urls(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("url is not null and source is not null")
-    return d.select("doc_id", F.explode(R.find_links(F.concat(F.lit("see "), "url", F.lit(" or www.github.com/"), "source"))).alias("link"))
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat_ws(" ", "text", "url").alias("t"))
+    r = read(spark, sf_dir, "raw_candidate").select(F.concat(F.lit("r"), F.col("raw_id").cast("string")), F.concat_ws(" ", "raw_text", F.array_join("links", " ")))
+    return d.union(r).select("id", F.explode(R.find_links(F.col("t"))).alias("link"))
 
 
-@query()
+_HEADING = "CASE WHEN length(t) <= 60 AND NOT ends_with(t, '.') THEN CASE " + " ".join(f"WHEN regexp_full_match(t, '(?i)(?:{p})') THEN '{n}'" for n, p in fixed.HEADINGS) + " END END"
+_LINES = rf"""
+  split AS (SELECT raw_id, string_split_regex(raw_text, '\r\n|[\n\r\x{{000B}}\x{{000C}}\x{{0085}}\x{{2028}}\x{{2029}}]') AS a FROM raw_candidate WHERE raw_text IS NOT NULL),
+  lines AS (SELECT raw_id, generate_subscripts(a, 1) AS i, unnest(a) AS line FROM split),
+  headed AS (SELECT *, {_HEADING} AS h FROM (SELECT *, trim(line, {_BLANK}) AS t FROM lines)),
+  placed AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY raw_id ORDER BY i ROWS UNBOUNDED PRECEDING), 'header') AS section,
+    coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY raw_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'header') AS before FROM headed),
+  opened AS (SELECT *, h IS NOT NULL AND h <> before AS opens, sum(CASE WHEN h <> before THEN 1 ELSE 0 END) OVER (PARTITION BY raw_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM placed)"""
+
+
+@query(f"""WITH {_LINES}, newest AS (SELECT raw_id, section, max(g) AS g FROM opened GROUP BY ALL)
+SELECT o.raw_id, o.section, coalesce(string_agg(o.line, chr(10) ORDER BY o.i) FILTER (WHERE NOT o.opens), '') AS text FROM opened o JOIN newest n ON o.raw_id = n.raw_id AND o.section = n.section AND o.g = n.g GROUP BY o.raw_id, o.section""")
 def section_split(spark, sf_dir):
     m = read(spark, sf_dir, "raw_candidate").filter("raw_text is not null").select("raw_id", F.explode(R.sections(F.col("raw_text"))).alias("section", "lines"))
     return m.select("raw_id", "section", F.array_join("lines", "\n").alias("text"))
 
 
-@query(r"""WITH l AS (SELECT raw_id, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i, unnest(string_split(raw_text, chr(10))) AS line FROM raw_candidate WHERE raw_text IS NOT NULL)
-SELECT raw_id, count(*) FILTER (WHERE lower(trim(line)) = 'skills') > 0 AS has_skills, count(*) FILTER (WHERE lower(trim(line)) = 'experience') > 0 AS has_experience, any_value(line) FILTER (WHERE i = 1) AS first_line FROM l GROUP BY raw_id""")
+@query(f"WITH {_LINES} SELECT raw_id, " + ", ".join(f"count(*) FILTER (WHERE h = '{n}') > 0 AS has_{n}" for n, _ in fixed.HEADINGS) + ", any_value(line) FILTER (WHERE i = 1) AS first_line FROM opened GROUP BY raw_id")
 def headings_found(spark, sf_dir):
     m = read(spark, sf_dir, "raw_candidate").filter("raw_text is not null").select("raw_id", R.sections(F.col("raw_text")).alias("m"))
-    has = lambda k: F.coalesce(F.map_contains_key("m", k), F.lit(False))
-    return m.select("raw_id", has("skills").alias("has_skills"), has("experience").alias("has_experience"), F.get(F.try_element_at("m", F.lit("header")), F.lit(0)).alias("first_line"))
+    has = lambda k: F.coalesce(F.map_contains_key("m", k), F.lit(False)).alias(f"has_{k}")
+    return m.select("raw_id", *(has(n) for n, _ in fixed.HEADINGS), F.get(F.try_element_at("m", F.lit("header")), F.lit(0)).alias("first_line"))
 
 
 @query()
@@ -365,10 +404,22 @@ def resume_records(spark, sf_dir):
     return R.parse_resumes(t)
 
 
-@query(r"""WITH t AS (SELECT doc_id, 'with over ' || (doc_id % 30) || '+ years of work' AS a FROM documents) SELECT doc_id, CAST(regexp_extract(a, '([0-9]+)\+ years', 1) AS DOUBLE) AS years FROM t""")
+_WORD_YEARS = "CASE lower(word) " + " ".join(f"WHEN '{w}' THEN {i}" for i, w in enumerate(fixed.NUMBER_WORDS)) + " END"
+
+
+@query(rf"""WITH t AS (
+  SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'r' || raw_id, raw_text FROM raw_candidate UNION ALL SELECT 'p' || p_partkey, 'with over ' || (p_partkey % 30) || '+ years and ' || (p_partkey % 7) || ' years' FROM part
+  UNION ALL SELECT 'n' || n_nationkey, 'nearly ' || ['five', 'Eleven', 'twenty', 'many'][n_nationkey % 4 + 1] || ' years of work' FROM nation),
+f AS (SELECT id, regexp_extract(text, '(?i){fixed.YEARS}', 1) AS number, regexp_extract(text, '(?i){fixed.YEARS}', 2) AS word FROM t)
+SELECT id, CASE WHEN number <> '' THEN try_cast(number AS DOUBLE) WHEN word <> '' THEN CAST({_WORD_YEARS} AS DOUBLE) END AS years FROM f""")
 def years_from_prose(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", R.years_in(F.concat(F.lit("with over "), (F.col("doc_id") % 30).cast("string"), F.lit("+ years of work"))).alias("years"))
+    text = lambda c: F.col(c).cast("string")
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), text("doc_id")).alias("id"), "text")
+    r = read(spark, sf_dir, "raw_candidate").select(F.concat(F.lit("r"), text("raw_id")), "raw_text")
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), text("p_partkey")), F.concat(F.lit("with over "), (F.col("p_partkey") % 30).cast("string"), F.lit("+ years and "), (F.col("p_partkey") % 7).cast("string"), F.lit(" years")))
+    word = F.get(F.array(*map(F.lit, ("five", "Eleven", "twenty", "many"))), F.col("n_nationkey") % 4)
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), text("n_nationkey")), F.concat(F.lit("nearly "), word, F.lit(" years of work")))
+    return d.union(r).union(p).union(n).select("id", R.years_in(F.col("text")).alias("years"))
 
 
 # --- merge, projection, validation ------------------------------------------------------------------------------------
@@ -419,6 +470,93 @@ def project_omit(spark, sf_dir):
     return project_json(_merged(spark, sf_dir), config)
 
 
+# Events as raw records of five sources, all of whose fields SQL can normalize, too: the merge itself is compared.
+_SOURCES = {"signup": "manual", "purchase": "recruiter_csv", "click": "resume_pdf", "view": "recruiter_notes", "error": "ats_json"}
+_SOURCE_ROWS = ", ".join(f"('{k}', '{s}', {fixed.SOURCES[s][0]}, CAST({fixed.SOURCES[s][1]} AS DECIMAL(3,2)))" for k, s in _SOURCES.items())
+_EVENT_MERGE = f"""
+  e AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, d.source, d.priority, d.reliability FROM events JOIN (VALUES {_SOURCE_ROWS}) AS d(event_type, source, priority, reliability) ON d.event_type = events.event_type),
+  scalars AS (
+    SELECT e.*, 'full_name' AS field, 'Ann K' || (k % 3) AS v, CAST(CASE WHEN event_id % 2 = 0 THEN 0.9 ELSE 1 END AS DECIMAL(4,3)) AS factor, CASE WHEN event_id % 2 = 0 THEN 'normalized_case' ELSE 'already_proper_case' END AS method FROM e WHERE k IS NOT NULL
+    UNION ALL SELECT e.*, 'headline', 'Role ' || (k % 4), CAST(1 AS DECIMAL(4,3)), 'direct_string' FROM e WHERE k % 5 <> 0
+    UNION ALL SELECT e.*, 'years_experience', CAST(CAST(event_id % 12 AS DOUBLE) AS VARCHAR), CAST(0.85 AS DECIMAL(4,3)), 'summary_regex_extraction' FROM e),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, field ORDER BY priority, event_id) AS r FROM scalars),
+  counted AS (SELECT x.user_id, x.field, count(*) FILTER (WHERE lower(x.v) = lower(y.v)) AS agreed, count(*) AS n, count(DISTINCT lower(x.v)) AS n_values
+    FROM ranked x JOIN ranked y ON x.user_id = y.user_id AND x.field = y.field AND y.r = 1 GROUP BY 1, 2),
+  chosen AS (SELECT w.*, o.agreed, o.n, o.n_values FROM ranked w JOIN counted o ON w.user_id = o.user_id AND w.field = o.field WHERE w.r = 1),
+  members AS (
+    SELECT e.*, 'emails' AS field, 0 AS pos, 'user' || (k % 7) || '@x.test' AS v, CAST(1 AS DECIMAL(4,3)) AS factor, 'lowercased' AS method, CAST(NULL AS VARCHAR) AS notes FROM e WHERE k IS NOT NULL
+    UNION ALL SELECT e.*, 'skills', 0, CASE WHEN k % 2 = 0 THEN 'Python' ELSE 'JavaScript' END, CAST(1 AS DECIMAL(4,3)), 'exact_synonym_match', NULL FROM e WHERE k IS NOT NULL
+    UNION ALL SELECT e.*, 'skills', 1, 'Made Up' || (k % 2), CAST(0.6 AS DECIMAL(4,3)), 'unknown_skill_kept_as_is', 'Skill ''made up' || (k % 2) || ''' not in synonym dictionary; kept as ''Made Up' || (k % 2) || '''' FROM e WHERE k IS NOT NULL),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY user_id, field, v ORDER BY priority, event_id, pos) AS again FROM members),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY user_id, field ORDER BY priority, event_id, pos) AS r FROM firsts WHERE again = 1),
+  lists AS (SELECT user_id, field, count(*) - count(DISTINCT v) AS repeats FROM members GROUP BY 1, 2),
+  parts AS (
+    SELECT user_id, field, source, reliability, factor, method, agreed, n_values > 1 AS had_conflict FROM chosen
+    UNION ALL SELECT k.user_id, k.field, k.source, k.reliability, k.factor, k.method, l.repeats + 1, false FROM kept k JOIN lists l ON k.user_id = l.user_id AND k.field = l.field WHERE k.r = 1),
+  bonuses AS (SELECT *, CAST(least(1 + (agreed - 1) * 0.05, 1.2) AS DECIMAL(8,4)) AS bonus FROM parts),
+  scores AS (SELECT *, CAST(round(least(CAST(reliability * factor * bonus AS DECIMAL(20,9)), CAST(1 AS DECIMAL(20,9))), 4) AS DECIMAL(6,4)) AS score,
+    CAST(CASE field WHEN 'full_name' THEN 1.5 WHEN 'emails' THEN 1.5 WHEN 'headline' THEN 0.8 WHEN 'skills' THEN 1.2 ELSE 1.0 END AS DECIMAL(3,1)) AS w FROM bonuses),
+  texts AS (SELECT w.user_id, w.field, string_agg('''' || o.source || ''' → ''' || o.v || '''', '; ' ORDER BY o.r) FILTER (WHERE o.r > 1) AS losers, string_agg(o.source || '|' || o.v || '|' || o.factor, '; ' ORDER BY o.r) FILTER (WHERE o.r > 1) AS alternatives
+    FROM chosen w JOIN ranked o ON w.user_id = o.user_id AND w.field = o.field GROUP BY 1, 2)"""
+_CLASH = "'Conflict detected across ' || c.n || ' sources. Chose ''' || c.v || ''' from ''' || c.source || ''' (priority=' || c.priority || '). Discarded: ' || t.losers || '. Priority order is deterministic per SOURCE_PRIORITY config.'"
+
+
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as raw records: a user is an entity, the type tells the source."""
+    text = lambda c: c.cast("string")
+    k, i = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    source = F.create_map(*(F.lit(x) for kv in _SOURCES.items() for x in kv))
+    return read(spark, sf_dir, "events").filter(F.col("event_type").isin(*_SOURCES)).select(
+        text(F.col("user_id")).alias("entity_id"), i.alias("rec_seq"), F.try_element_at(source, F.col("event_type")).alias("source"),
+        F.concat(F.when(i % 2 == 0, "ann k").otherwise("Ann K"), text(k % 3)).alias("full_name"), F.when(k % 5 != 0, F.concat(F.lit(" Role "), text(k % 4))).alias("headline"),
+        F.array(F.concat(F.lit("User"), text(k % 7), F.lit("@X.test")), F.lit("no address")).alias("emails"), text(i % 12).alias("years_experience"),
+        F.when(k.isNotNull(), F.array(F.when(k % 2 == 0, "PYTHON").otherwise("js"), F.concat(F.lit("made up"), text(k % 2)))).alias("skills"),
+    )
+
+
+def _merged_events(spark, sf_dir) -> DataFrame:
+    return M.merge(event_records(spark, sf_dir), ALL_RECORDS, fuzzy=False)
+
+
+@query(f"""WITH {_EVENT_MERGE},
+  mails AS (SELECT user_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(v)) AS h FROM kept WHERE field = 'emails' AND r = 1),
+  ids AS (SELECT user_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (position(h[17:17] IN '0123456789abcdef') - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS candidate_id FROM mails),
+  won AS (SELECT user_id, max(v) FILTER (WHERE field = 'full_name') AS full_name, max(v) FILTER (WHERE field = 'headline') AS headline, CAST(max(v) FILTER (WHERE field = 'years_experience') AS DOUBLE) AS years_experience, count(*) FILTER (WHERE n_values > 1) AS conflicts_resolved FROM chosen GROUP BY 1),
+  had AS (SELECT user_id, string_agg(v, ',' ORDER BY r) FILTER (WHERE field = 'emails') AS emails, string_agg(v, ',' ORDER BY r) FILTER (WHERE field = 'skills') AS skills FROM kept GROUP BY 1),
+  again AS (SELECT user_id, CAST(sum(repeats) AS BIGINT) AS duplicates_removed FROM lists GROUP BY 1),
+  total AS (SELECT user_id, CAST(sum(score * w) * 100000 AS BIGINT) AS a, CAST(sum(w) * 10 AS BIGINT) AS b FROM scores WHERE score > 0 GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS entity_id, candidate_id, full_name, headline, years_experience, emails, skills, ((2 * a + b) // (2 * b)) / 10000.0 AS overall_confidence, duplicates_removed, conflicts_resolved
+FROM won JOIN had USING (user_id) JOIN ids USING (user_id) JOIN again USING (user_id) JOIN total USING (user_id)""")
+def merged_profiles(spark, sf_dir):
+    m = metrics(_merged_events(spark, sf_dir), None, "candidate_id", "full_name", "headline", "years_experience", "emails", "skills")
+    return m.select(
+        "entity_id", "candidate_id", "full_name", "headline", "years_experience", F.array_join("emails", ",").alias("emails"), F.array_join(F.transform("skills", lambda s: s["name"]), ",").alias("skills"),
+        F.col("overall_confidence").cast("double").alias("overall_confidence"), F.col("duplicates_removed").cast("long").alias("duplicates_removed"), F.col("conflicts_resolved").cast("long").alias("conflicts_resolved"),
+    )
+
+
+@query(f"""WITH {_EVENT_MERGE} SELECT CAST(c.user_id AS VARCHAR) AS entity_id, c.field, c.source AS winner_source, c.v AS winner_value, c.priority AS winner_priority, c.agreed AS agreed_sources, t.alternatives, {_CLASH} AS reason
+FROM chosen c JOIN texts t ON c.user_id = t.user_id AND c.field = t.field WHERE c.n_values > 1""")
+def merged_decisions(spark, sf_dir):
+    others = F.array_join(F.transform("alternatives", lambda x: F.concat_ws("|", x["source"], x["value"], x["factor"].cast("string"))), "; ")
+    return M.decision_log(_merged_events(spark, sf_dir)).select("entity_id", "field", "winner_source", "winner_value", "winner_priority", "agreed_sources", others.alias("alternatives"), "reason")
+
+
+@query(f"""WITH {_EVENT_MERGE} SELECT CAST(user_id AS VARCHAR) AS entity_id, field, r - 1 AS rank, source, v AS value, method, CAST(factor AS DOUBLE) AS confidence, NULL AS notes FROM ranked
+UNION ALL SELECT CAST(user_id AS VARCHAR), field, r - 1, source, v, method, CAST(factor AS DOUBLE), notes FROM kept""")
+def merged_provenance(spark, sf_dir):
+    return M.provenance(_merged_events(spark, sf_dir)).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query(f"""WITH {_EVENT_MERGE}, why AS (SELECT *, 'field=''' || field || ''' | score=' || CAST(CAST(score AS DOUBLE) AS VARCHAR) || ' = reliability(' || printf('%.2f', CAST(reliability AS DOUBLE)) || ') × norm_factor(' || printf('%.2f', CAST(factor AS DOUBLE))
+  || ') × corroboration(' || printf('%.2f', CAST(bonus AS DOUBLE)) || ') | source=''' || source || ''' | method=''' || method || ''' | ' || CASE WHEN agreed > 1 THEN agreed || ' source(s) agree → bonus=' || printf('%.2f', CAST(bonus AS DOUBLE)) ELSE 'single source, no corroboration bonus' END AS text FROM scores)
+SELECT CAST(y.user_id AS VARCHAR) AS entity_id, y.field, CAST(y.score AS DOUBLE) AS confidence, CASE WHEN y.had_conflict THEN {_CLASH} ELSE y.text END AS reason, y.had_conflict, y.source, y.method
+FROM why y LEFT JOIN chosen c ON c.user_id = y.user_id AND c.field = y.field LEFT JOIN texts t ON t.user_id = y.user_id AND t.field = y.field""")
+def confidence_explanation(spark, sf_dir):
+    x = M.explanation(_merged_events(spark, sf_dir)).filter("confidence is not null")
+    return x.select("entity_id", "field", F.col("confidence").cast("double").alias("confidence"), "reason", "had_conflict", "source", "method")
+
+
 @query("""SELECT c_name AS candidate_id, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS name, CASE WHEN c_acctbal >= 0 THEN c_name END AS emails, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS experience_years FROM customer""")
 def project_rename_null(spark, sf_dir):
     c, none = read(spark, sf_dir, "customer"), F.array().cast("array<string>")

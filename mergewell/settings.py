@@ -13,8 +13,8 @@ class Settings:
     corroboration_bonus: str = "0.05"
     corroboration_cap: str = "1.2"
     pdf_max_pages: int = 20
-    #: Records of one source that an entity keeps; None keeps all.
-    records_per_source: int | None = 1
+    #: Records of one source that an entity keeps; None keeps all, as a merge of given records does.
+    records_per_source: int | None = None
     version: str = "1.0.0"
     #: ISO time taken as now; None is the time of the run, read once.
     now: str | None = None

@@ -18,7 +18,7 @@ HEADER_BYTES, PROBE_BYTES = 1 << 16, 1 << 20
 
 def resolve_headers(headers: list[str]) -> dict[str, int]:
     """field -> place of its column: of several headers of one field the first counts, unknown ones are left aside."""
-    known = fixed.inverted(fixed.HEADERS)
+    known = fixed.HEADERS
     out: dict[str, int] = {}
     for i, h in enumerate(headers):
         field = known.get(h.strip().lower())

@@ -9,7 +9,6 @@ import duckdb
 import pytest
 
 entry = importlib.import_module("__spark_entry__")
-HEAVY = {"merge_candidates", "provenance_long", "merge_decisions", "explanations", "project_omit", "validation_summary", "merge_metrics", "report_html"}
 
 
 def plain(v):
@@ -36,7 +35,7 @@ def test_against_sql(spark, data, con, name):
     assert got == collections.Counter(tuple(plain(x[at.index(c)]) for c in columns) for x in r.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_rows(spark, data, name):
     if name.startswith("p") and name[1].isdigit() and name != "p1_found":
         pytest.skip("tested with its operator")

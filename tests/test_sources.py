@@ -1,3 +1,4 @@
+import glob
 import json
 import os
 
@@ -85,13 +86,13 @@ def test_pdf_hook(spark, tmp_path):
 
 def test_pipeline(spark, tmp_path):
     csv = tmp_path / "r.csv"
-    csv.write_text('full_name,email,phone,location,linkedin_url,headline,skills,years_experience\n"priya sharma",Priya@x.com,+91-98765-43210,"Bangalore, India",linkedin.com/in/p,Senior <Data>,"python, react","5+"\nother,,,,,,,\n')
+    csv.write_text('full_name,email,phone,location,linkedin_url,headline,skills,years_experience\n"mira oststein",Mira@x.com,+91-90123-45678,"Bangalore, India",linkedin.com/in/p,Senior <Data>,"python, react","5+"\nother,,,,,,,\n')
     seen = []
     out = Pipeline(spark, Settings(now="2026-01-01")).run(PipelineInput(csv_path=str(csv), resume_path=str(tmp_path / "no.pdf"), output_dir=str(tmp_path / "out")), lambda m, p: seen.append(p))
     assert out.is_valid and any("resume_pdf" in w for w in out.warnings) and seen == [5, 15, 40, 55, 65, 75, 85, 100]
     assert sorted(os.listdir(tmp_path / "out")) == ["candidate.json", "decision_log.json", "explanation.json", "metrics.json", "report.html"]
     c = json.loads((tmp_path / "out/candidate.json").read_text())
-    assert (c["full_name"], c["overall_confidence"]) == ("Priya Sharma", 0.9329)
+    assert (c["full_name"], c["overall_confidence"]) == ("Mira Oststein", 0.9329)
     page = (tmp_path / "out/report.html").read_text()
     assert "Senior &lt;Data&gt;" in page and "93.3%" in page
     with pytest.raises(ValueError):
@@ -100,6 +101,11 @@ def test_pipeline(spark, tmp_path):
         parse_args([])
     with pytest.raises(SystemExit):
         parse_args(["--csv", str(tmp_path / "none.csv")])
+    # What is checked is the projected object: one without the id isn't valid.
+    config = tmp_path / "c.json"
+    config.write_text('{"fields": {"candidate_id": {"include": false}}}')
+    out = Pipeline(spark, Settings(now="2026-01-01")).run(PipelineInput(csv_path=str(csv), config_path=str(config)))
+    assert not out.is_valid and [(r.invalid_fields, r.validation_summary[:9]) for r in out.metrics.collect()] == [(1, "[INVALID]")]
     paths = write_tables(merge_all(spark.createDataFrame([], SCHEMA)), str(tmp_path / "tables"))
     assert set(paths) == {"candidate", "explanation", "metrics", "decision_log", "report"}
 
@@ -132,3 +138,10 @@ def test_stream(spark, tmp_path):
     drain()
     got = {r.entity_id: (r.full_name, r.sources_used) for r in current_profiles(spark, f"{tmp_path}/out").collect()}
     assert got == {"a": ("A B", ["recruiter_csv"]), "b": ("Cee D", ["manual", "linkedin"])}
+    # State that is there but can't be read stops the query: no record is lost silently.
+    for part in glob.glob(f"{tmp_path}/state/batch=1/bucket=*/*.parquet"):
+        with open(part, "wb") as f:
+            f.write(b"broken")
+    put(3, dict(entity_id="b", rec_seq=2, source="manual", full_name="D"))
+    with pytest.raises(Exception):
+        drain()
