@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mergewell import fixed
+from mergewell.settings import Settings
 
 
 def resolve(df: DataFrame, entity: list[str], value: Column, key: Column, order: list[Column], carry: dict[str, Column]) -> DataFrame:
@@ -47,10 +48,16 @@ def interval_union_years(df: DataFrame, entity: str, start: Column, end: Column)
     return total.filter("years > 0").select(F.col("_e").alias(entity), F.col("years").cast("long").alias("years"))
 
 
-def score(rel: Column, factor: Column, agreed: Column) -> Column:
-    """reliability x factor x corroboration bonus, at most 1, to four places."""
-    bonus = F.least((1 + F.greatest(agreed - 1, F.lit(0)).cast("decimal(6,0)") * F.lit("0.05").cast("decimal(3,2)")).cast("decimal(8,4)"), F.lit("1.2").cast("decimal(8,4)"))
-    return F.round(F.least((rel * factor * bonus).cast("decimal(20,9)"), F.lit(1).cast("decimal(20,9)")), 4).cast("decimal(6,4)")
+def bonus(agreed: Column, settings: Settings = Settings()) -> Column:
+    """What the agreement of so many sources multiplies a score by."""
+    step, cap = F.lit(settings.corroboration_bonus).cast("decimal(4,3)"), F.lit(settings.corroboration_cap).cast("decimal(8,4)")
+    return F.least((1 + F.greatest(agreed - 1, F.lit(0)).cast("decimal(6,0)") * step).cast("decimal(8,4)"), cap)
+
+
+def score(rel: Column, factor: Column, agreed: Column, settings: Settings = Settings()) -> Column:
+    """reliability x factor x corroboration bonus, at most 1, to four places; the merge of whole entities scores by it, too."""
+    product = (rel.cast("decimal(3,2)") * factor.cast("decimal(4,3)") * bonus(agreed, settings)).cast("decimal(20,9)")
+    return F.round(F.least(product, F.lit(1).cast("decimal(20,9)")), 4).cast("decimal(6,4)")
 
 
 def overall(df: DataFrame, entity: list[str]) -> DataFrame:

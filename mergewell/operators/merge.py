@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mergewell import fixed
 from mergewell.functions import normal as N
 from mergewell.functions.fuzzy import near_each
+from mergewell.operators import long_form as L
 from mergewell.settings import Settings
 
 EXPERIENCE = "array<struct<title:string,company:string,start_date:string,end_date:string,is_current:boolean,description:string,location:string>>"
@@ -132,10 +133,7 @@ def normalize_records(raw: DataFrame, settings: Settings = Settings(), fuzzy: bo
 
 def confidence(field: str, source: Column, rel: Column, factor: Column, method: Column, agreed: Column, settings: Settings) -> Column:
     """Score and its parts: reliability x factor x bonus, at most 1; the bonus grows with the sources that agree."""
-    step, cap = F.lit(settings.corroboration_bonus).cast("decimal(4,3)"), F.lit(settings.corroboration_cap).cast("decimal(8,4)")
-    bonus = F.least((1 + F.greatest(agreed - 1, F.lit(0)).cast("decimal(6,0)") * step).cast("decimal(8,4)"), cap)
-    score = F.least((rel.cast("decimal(3,2)") * factor.cast("decimal(4,3)") * bonus).cast("decimal(20,9)"), F.lit(1).cast("decimal(20,9)"))
-    rounded = F.round(score, 4).cast("decimal(6,4)")
+    bonus, rounded = L.bonus(agreed, settings), L.score(rel, factor, agreed, settings)
     note = F.when(agreed > 1, F.concat(agreed.cast("string"), F.lit(" source(s) agree → bonus="), F.format_string("%.2f", bonus.cast("double")))).otherwise("single source, no corroboration bonus")
     text = F.concat(
         F.lit(f"field='{field}' | score="), rounded.cast("double").cast("string"), F.lit(" = reliability("), F.format_string("%.2f", rel.cast("double")), F.lit(") × norm_factor("),

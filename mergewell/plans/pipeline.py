@@ -107,7 +107,10 @@ class Pipeline:
             if not path:
                 continue
             try:
-                raw = M.as_raw(self.registry.instantiate(kind).extract(self.spark, path)).orderBy("rec_seq").limit(1)
+                extractor = self.registry.instantiate(kind)
+                if kind == "resume_pdf":
+                    extractor.max_pages = self.settings.pdf_max_pages
+                raw = M.as_raw(extractor.extract(self.spark, path)).orderBy("rec_seq").limit(1)
                 rows = raw.collect()
             except Exception as e:  # a source that fails doesn't stop the others
                 warnings.append(f"{kind}: {e}")

@@ -173,11 +173,14 @@ def pdf_text(content: bytes, most_pages: int = 20) -> str:
 
 @REGISTRY.register
 class ResumePdf:
-    """PDF résumés; ``text_of`` turns a file's bytes into text and can be replaced. No text, no record."""
+    """PDF résumés; ``text_of`` turns a file's bytes into text and can be replaced; by default the first ``max_pages`` are read. No text,
+    no record."""
 
     source_type = "resume_pdf"
 
-    def __init__(self, text_of: Callable[[bytes], str] = pdf_text) -> None:
+    max_pages = 20
+
+    def __init__(self, text_of: Callable[[bytes], str] | None = None) -> None:
         self.text_of = text_of
 
     def can_handle(self, path: str) -> bool:
@@ -186,7 +189,8 @@ class ResumePdf:
     def extract(self, spark: SparkSession, path: str) -> DataFrame:
         if not any(c in str(path) for c in "*?[{") and not os.path.exists(path):
             raise FileNotFoundError(path)
-        text_of = self.text_of
+        most = self.max_pages
+        text_of = self.text_of or (lambda content: pdf_text(content, most))
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for b in batches:
