@@ -347,7 +347,12 @@ def candidate_uuid5(spark, sf_dir):
 _WHOLE_EMAIL = rf"(?:^|[^\pL\pN_])({fixed.EMAIL})"
 
 
-@query(rf"SELECT DISTINCT raw_id, unnest(regexp_extract_all(raw_text, '{_WHOLE_EMAIL}', 1)) AS email FROM raw_candidate WHERE raw_text IS NOT NULL")
+# A word with an accented letter, which addresses can't hold, ends in front of a sign: there the next place is where one can begin.
+_ACCENTED_EMAIL = r"[\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}][A-Za-z0-9_]*([.%+\-]" + fixed.EMAIL.replace("]+@", "]*@", 1) + ")"
+
+
+@query(rf"""SELECT DISTINCT raw_id, unnest(list_concat(regexp_extract_all(raw_text, '{_ACCENTED_EMAIL}', 1), regexp_extract_all(regexp_replace(raw_text, '{_ACCENTED_EMAIL}', ' ', 'g'), '{_WHOLE_EMAIL}', 1))) AS email
+FROM raw_candidate WHERE raw_text IS NOT NULL""")
 def extract_emails(spark, sf_dir):
     return read(spark, sf_dir, "raw_candidate").select("raw_id", F.explode(R.find_emails(F.col("raw_text"))).alias("email"))
 
@@ -385,13 +390,14 @@ _LINES = rf"""
 
 
 @query(f"""WITH {_LINES}, newest AS (SELECT raw_id, section, max(g) AS g FROM opened GROUP BY ALL)
-SELECT o.raw_id, o.section, coalesce(string_agg(o.line, chr(10) ORDER BY o.i) FILTER (WHERE NOT o.opens), '') AS text FROM opened o JOIN newest n ON o.raw_id = n.raw_id AND o.section = n.section AND o.g = n.g GROUP BY o.raw_id, o.section""")
+SELECT o.raw_id, o.section, coalesce(string_agg(o.line, chr(10) ORDER BY o.i) FILTER (WHERE NOT o.opens), '') AS text FROM opened o JOIN newest n ON o.raw_id = n.raw_id AND o.section = n.section AND o.g = n.g GROUP BY o.raw_id, o.section
+UNION ALL SELECT raw_id, 'header', '' FROM opened WHERE i = 1 AND opens""")
 def section_split(spark, sf_dir):
     m = read(spark, sf_dir, "raw_candidate").filter("raw_text is not null").select("raw_id", F.explode(R.sections(F.col("raw_text"))).alias("section", "lines"))
     return m.select("raw_id", "section", F.array_join("lines", "\n").alias("text"))
 
 
-@query(f"WITH {_LINES} SELECT raw_id, " + ", ".join(f"count(*) FILTER (WHERE h = '{n}') > 0 AS has_{n}" for n, _ in fixed.HEADINGS) + ", any_value(line) FILTER (WHERE i = 1) AS first_line FROM opened GROUP BY raw_id")
+@query(f"WITH {_LINES} SELECT raw_id, " + ", ".join(f"count(*) FILTER (WHERE h = '{n}') > 0 AS has_{n}" for n, _ in fixed.HEADINGS) + ", any_value(line) FILTER (WHERE i = 1 AND NOT opens) AS first_line FROM opened GROUP BY raw_id")
 def headings_found(spark, sf_dir):
     m = read(spark, sf_dir, "raw_candidate").filter("raw_text is not null").select("raw_id", R.sections(F.col("raw_text")).alias("m"))
     has = lambda k: F.coalesce(F.map_contains_key("m", k), F.lit(False)).alias(f"has_{k}")
