@@ -33,6 +33,18 @@ def union_distinct(df: DataFrame, entity: list[str], key: Column, order: list[Co
     return kept.withColumn("rank", F.row_number().over(w)).select(*entity, "key", *(F.col(f"_f._c.{n}").alias(n) for n in carry), "repeats", "rank")
 
 
+def places(normalized: DataFrame) -> DataFrame:
+    """(entity_id, country_code, city, raw) of the entities with a country, as the merge has them: the country of the first record with one, the city of
+    the last record in it, the text of the first record. normalized: normalized records (merge.normalize_records).
+    """
+    order = F.struct("priority", "source", "rec_seq", "source_file", F.col("location").alias("n"), "city", "place")
+    rows = normalized.select("entity_id", F.col("location.value").alias("_k"), order.alias("_o"))
+    by_key = rows.groupBy("entity_id", "_k").agg(F.min("_o").alias("_f"), F.max(F.when(F.col("_o.city").isNotNull(), F.col("_o"))).alias("_l"))
+    won = F.min(F.when(F.col("_k").isNotNull(), F.struct("_f", "_k", "_l")))
+    first = by_key.groupBy("entity_id").agg(won.alias("_w"), F.min("_f").alias("_r")).filter("_w is not null")
+    return first.select("entity_id", F.col("_w._k").alias("country_code"), F.col("_w._l.city").alias("city"), F.col("_r.place").alias("raw"))
+
+
 def interval_union_years(df: DataFrame, entity: str, start: Column, end: Column) -> DataFrame:
     """(entity, years): sum over the united intervals (dates) of the difference of calendar years; entities with 0 are left out.
 

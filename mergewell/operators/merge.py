@@ -169,10 +169,14 @@ def resolve(field: str, records: Column, settings: Settings) -> Column:
     )
 
     def use(c: Column) -> Column:
+        # The keys are bound: counting those that agree would make all of them anew for each.
         keys = F.transform(c, lambda x: N.compare_key(x["n"]["value"]))
+        counted = lambda k: F.struct(F.size(F.filter(k, lambda x: x == F.get(k, F.lit(0)))).alias("agreed"), (F.size(F.array_distinct(k)) > 1).alias("clash"))
+        return N.bind(F.struct(c.alias("c"), N.bind(keys, counted).alias("k")), chosen)
+
+    def chosen(s: Column) -> Column:
+        c, agreed, clash = s["c"], s["k"]["agreed"], s["k"]["clash"]
         first = F.get(c, F.lit(0))
-        agreed = F.size(F.filter(keys, lambda k: k == F.get(keys, F.lit(0))))
-        clash = F.size(F.array_distinct(keys)) > 1
         return F.when(F.size(c) > 0, F.struct(
             F.lit(field).alias("field"), first["n"]["value"].alias("value"), first["source"].alias("source"), first["priority"].alias("priority"), first["n"].alias("n"),
             clash.alias("had_conflict"), agreed.alias("agreed"), c.alias("candidates"), reason(field, c, agreed, clash).alias("reason"),
